@@ -1 +1,10 @@
-"""Operators for large training-data pipelines; nothing else in the library imports this package."""
+"""Operators for large training-data pipelines; nothing else in the library imports this package.
+
+Functions of this package are sent to the workers by value, so a cluster needs no copy of it on its machines.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

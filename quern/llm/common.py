@@ -110,3 +110,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, max_text_bytes: int,
+    fold_of: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(id, data, label): at most `max_rows` labelled documents, those whose ids hash lowest, to fit a model on.
+
+    Only the fit is bounded: `max_rows` ids, and of them the texts of at most `max_text_bytes`. `fold_of` (modulus,
+    rest) leaves out ids whose fold has that rest. An id with labels that disagree is left out; of rows that repeat an
+    id, the least text counts; ids and labels that are null don't count.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
+    if fold_of:
+        known = known.filter(fold("id", fold_of[0]) != fold_of[1])
+    one = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most")
+    ids = one.select("id", "label").orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("doc"), utf8(text_col).alias("data")).filter(F.octet_length("data") <= max_text_bytes)
+    found = texts.join(F.broadcast(ids), F.col("doc") == F.col("id"))
+    return found.groupBy("id", "label").agg(F.min("data").alias("data"))

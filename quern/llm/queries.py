@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import simhash
-from quern.llm.common import table
+from quern.llm import compression_quality, decision_list, simhash
+from quern.llm.common import fold, table
+
+
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compression_quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    got = compression_quality.scored(docs, model)
+    return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = decision_list.fit_on(docs, table(spark, sf_dir, "labels"))
+    got = decision_list.judged(docs, rules)
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
 QUERIES = {
+    "op2_compression_quality": op2_compression_quality,
     "op7_simhash": op7_simhash,
+    "op9_decision_list": op9_decision_list,
 }
 SQL: dict[str, str] = {}
