@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import compression_quality, decision_list, simhash
+from quern.llm import compression_quality, decision_list, mixing, packing, simhash
 from quern.llm.common import fold, table
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mixed(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "source", *(F.col(f"mix_{k}").alias(k) for k in ("tokens", "weight", "epoch", "block", "order")))
+
+
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = compression_quality.fit_on(docs, table(spark, sf_dir, "labels"))
@@ -16,6 +22,10 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -28,7 +38,9 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_temperature_mixing": op1_temperature_mixing,
     "op2_compression_quality": op2_compression_quality,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_simhash": op7_simhash,
     "op9_decision_list": op9_decision_list,
 }
