@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import compression_quality, decision_list, license_scan, mixing, packing, simhash
+from quern.llm import compression_quality, decision_list, license_scan, mixing, order_minhash, packing, simhash
 from quern.llm.common import fold, table
 
 
@@ -30,6 +30,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_compression_quality": op2_compression_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
+    "op6_order_minhash": op6_order_minhash,
     "op7_simhash": op7_simhash,
     "op9_decision_list": op9_decision_list,
 }
