@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import compression_quality, decision_list, license_scan, mixing, order_minhash, packing, simhash
-from quern.llm.common import fold, table
+from quern.llm import compression_quality, decision_list, license_scan, mixing, order_minhash, packing, sharding, simhash, token_rollup
+from quern.llm.common import fold, materialise, scratch_dir, table
 
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), limit_bytes=1 << 20)
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = decision_list.fit_on(docs, table(spark, sf_dir, "labels"))
@@ -45,6 +49,22 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: all documents come; toxic ones are withdrawn; bad ones are counted anew, now by the second rule
+    under the first one's name; and the first batch is sent a second time, which must change nothing."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counts = materialise(token_rollup.counted(docs, ("words-1", "words-2")), "token-counts")
+    marked = counts.join(labels.select("doc_id", "quality", "toxic"), "doc_id")
+    ledger = token_rollup.TokenLedger(spark, scratch_dir(spark, "ledger"))
+    ledger.commit("load", token_rollup.inserts(counts))
+    ledger.commit("withdraw", token_rollup.deletes(marked.filter("toxic = 1")))
+    again = marked.filter("toxic = 0 and quality = 0")
+    after = again.filter("tokenizer = 'words-2'").withColumn("tokenizer", F.lit("words-1"))
+    ledger.commit("revise", token_rollup.revisions(again.filter("tokenizer = 'words-1'"), after))
+    ledger.commit("load", token_rollup.inserts(counts))
+    return ledger.totals()
+
+
 QUERIES = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_compression_quality": op2_compression_quality,
@@ -52,6 +72,33 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op6_order_minhash": op6_order_minhash,
     "op7_simhash": op7_simhash,
+    "op8_extendible_sharding": op8_extendible_sharding,
     "op9_decision_list": op9_decision_list,
+    "op10_token_rollup": op10_token_rollup,
+}
+_COUNTS = r"""
+    SELECT doc_id, source, lang,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n1,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS n2
+    FROM documents"""
+SQL: dict[str, str] = {
+    "op8_extendible_sharding": """
+WITH d AS (
+    SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+           lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT)), 32, '0') AS bits
+    FROM documents),
+e AS (
+    SELECT doc_id, n_bytes, depth, substr(bits, 1, depth) AS shard,
+           sum(n_bytes) OVER (PARTITION BY depth, substr(bits, 1, depth)) AS bytes,
+           count(*) OVER (PARTITION BY depth, substr(bits, 1, depth)) AS n
+    FROM d, (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 31)))
+SELECT doc_id, n_bytes, depth, shard FROM e WHERE bytes <= 1048576 OR n = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
+    "op10_token_rollup": f"""
+WITH c AS ({_COUNTS}),
+m AS (SELECT c.*, coalesce(l.toxic, 0) AS toxic, coalesce(l.quality, 1) AS quality FROM c LEFT JOIN labels l USING (doc_id)),
+k AS (
+    SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN quality = 0 THEN n2 ELSE n1 END AS n FROM m WHERE toxic = 0
+    UNION ALL SELECT source, lang, 'words-2', n2 FROM m WHERE toxic = 0)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM k GROUP BY ALL""",
 }
-SQL: dict[str, str] = {}
