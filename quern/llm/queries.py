@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import compression_quality, decision_list, license_scan, mixing, order_minhash, packing, sharding, simhash, token_rollup
+from quern.llm import compression_quality, decision_list, license_scan, lm_bloom, mixing, order_minhash, packing, sharding, simhash, token_rollup
 from quern.llm.common import fold, materialise, scratch_dir, table
 
 
@@ -30,6 +30,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op5_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.with_next(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_compression_quality": op2_compression_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
+    "op5_lm_bloom": op5_lm_bloom,
     "op6_order_minhash": op6_order_minhash,
     "op7_simhash": op7_simhash,
     "op8_extendible_sharding": op8_extendible_sharding,
