@@ -6,6 +6,12 @@ radius 1 (the Hamming code on 31 bits, the last bit free): a half's nearest anch
 away, so a half that differs from it in one bit is within radius plus threshold, 1 + 1 = 2, of that same home. Every
 fingerprint is therefore replicated to all anchors within 2 bits of each half (17 at most), and every home is compared
 with what its anchor has gathered: no pair is lost, and pairs come from anchors, never from all rows.
+
+`keep_one` asks for a similarity instead of 3 bits: texts whose sets of 5-word shingles have a Jaccard index of 0.8.
+Such texts differ in a sixth of the bits, too many for halves of 32. There the fingerprint has 256 bits, anchors cover
+8 pieces of 24 bits (the Hamming code on 15, 9 free), again with radius and threshold 1, and what meets at an anchor is
+held against the similarity that all 256 bits show. Pairs much above 0.8 meet nearly always (0.95: 99 %, 0.9: 92 %, by
+the binomial chance that a piece differs in one bit at most), pairs right at it in about half of all cases.
 """
 
 from __future__ import annotations
@@ -20,10 +26,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import connected_components, fresh, materialise, utf8
 
-#: Bits that may differ; the two halves and the covering radius below are chosen for it.
+#: Bits that may differ between linked fingerprints of 64 bits.
 THRESHOLD = 3
-#: Values: which bits (0 to 30) have a position (1 to 31) whose k-th binary digit is set.
-PARITY = [sum(1 << j for j in range(31) if (j + 1) >> k & 1) for k in range(5)]
+#: For similarity: 64-bit words of a fingerprint, and the differing bits allowed in the word whose piece has met.
+WORDS, WORD_THRESHOLD = 4, 12
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _SHIFT = np.arange(8, dtype=np.int64) * 256
 
@@ -50,42 +56,53 @@ def majority(hashes: np.ndarray) -> int:
     return int(sum(1 << int(j) for j in np.flatnonzero(2 * ones > n)))
 
 
-def fingerprint_udf(width: int):
-    @F.arrow_udf("bigint")
+def fingerprint_udf(width: int, words: int = 1):
+    """A column of `words` longs; the hashes of further words are the first one's, mixed by a bijection."""
+    @F.arrow_udf("array<bigint>")
     def simhash(texts: pa.Array) -> pa.Array:
-        got = np.array([majority(shingle_hashes(t, width)) for t in texts.to_pylist()], np.uint64)
-        return pa.array(got.view(np.int64))
-
-    return simhash
-
-
-def _anchors(half: Column, side: int) -> Column:
-    """All anchors within 2 bits of a 32-bit half, as structs (anchor, home)."""
-    low, free = half.bitwiseAND(F.lit((1 << 31) - 1)), half.bitwiseAND(F.lit(1 << 31))
+        got = np.zeros((len(texts), words), np.uint64)
+        for k, t in enumerate(texts.to_pylist()):
+            h = shingle_hashes(t, width)
+            for j in range(words):
+                got[k, j] = majority(h)
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h ^= h >> np.uint64(31)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * words), pa.array(got.ravel().view(np.int64)))
+
+    return simhash(utf8("text_of_simhash"))
+
+
+def _anchors(piece: Column, bits: int, digits: int, side: int) -> Column:
+    """All anchors within 2 bits of a piece of `bits` bits, as structs (anchor, home): the words of the Hamming code on
+    its first 2**digits - 1 bits, with any other bits."""
+    n = (1 << digits) - 1
+    low, free = piece.bitwiseAND(F.lit((1 << n) - 1)), piece.bitwiseAND(F.lit((1 << bits) - (1 << n)))
     bad = F.lit(0).cast("long")
-    for k, mask in enumerate(PARITY):
+    for k in range(digits):  # the positions, from 1, whose k-th binary digit is set: their parity
+        mask = sum(1 << j for j in range(n) if (j + 1) >> k & 1)
         bad = bad + (F.bit_count(low.bitwiseAND(F.lit(mask))).cast("long") % 2) * (1 << k)
-    tag = F.lit(side << 32).cast("long")
+    tag = F.lit(side << bits).cast("long")
 
     def flip(x: Column, position: Column) -> Column:
-        """Change the bit at a position from 1 to 31; nothing at 0."""
+        """Change the bit at a position from 1; nothing at 0."""
         return F.when(position > 0, x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (position - 1).cast("int")))).otherwise(x)
 
     def row(word: Column, home: bool) -> Column:
         return F.struct(word.bitwiseOR(tag).alias("anchor"), F.lit(home).alias("home"))
 
     nearest = flip(low, bad)
-    pairs = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(31).cast("long")), lambda i: (bad != 0) & (i < i.bitwiseXOR(bad)))
+    pairs = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")), lambda i: (bad != 0) & (i < i.bitwiseXOR(bad)))
     two = F.transform(pairs, lambda i: row(flip(flip(low, i), i.bitwiseXOR(bad)).bitwiseOR(free), False))
-    one = F.array(row(nearest.bitwiseOR(free), True), row(nearest.bitwiseOR(free.bitwiseXOR(F.lit(1 << 31))), False))
+    one = F.array(row(nearest.bitwiseOR(free), True), *(row(nearest.bitwiseOR(free.bitwiseXOR(F.lit(1 << j))), False) for j in range(n, bits)))
     return F.concat(one, two)
 
 
-def _linked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links within each anchor; rows come sorted by anchor."""
+def _linked(rows: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links within each anchor; rows (anchor, word, home, node) come sorted by anchor."""
     kept: list[tuple[np.ndarray, ...]] = []
 
-    def emit(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+    def emit(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         n = len(anchor)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if n else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[first, n])
@@ -104,7 +121,7 @@ def _linked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while len(at):
             at = at[(at + k < n)]
             at = at[(group[at] == group[np.minimum(at + k, n - 1)]) & (left[group[at]] > 0)]
-            near = at[(np.bitwise_count(fp[at] ^ fp[at + k]) <= THRESHOLD) & (home[at] | home[at + k]) & (root[at] != root[at + k])]
+            near = at[(np.bitwise_count(fp[at] ^ fp[at + k]) <= threshold) & (home[at] | home[at + k]) & (root[at] != root[at + k])]
             for i in near.tolist():
                 a, b = top(i), top(i + k)
                 if a != b:
@@ -116,12 +133,12 @@ def _linked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while (up := root[root]) is not None and (up != root).any():
                     root = up
             k += 1
-        a, b = fp[np.array(found_a, np.int64)].view(np.int64), fp[np.array(found_b, np.int64)].view(np.int64)
+        a, b = node[np.array(found_a, np.int64)], node[np.array(found_b, np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in rows:
-        part = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        kept.append((part[0], part[1].view(np.uint64), part[2].astype(bool)))
+        part = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        kept.append((part[0], part[1].view(np.uint64), part[2].astype(bool), part[3]))
         if sum(len(x[0]) for x in kept) < 200_000 or kept[0][0][0] == part[0][-1]:
             continue
         whole = [np.concatenate(x) for x in zip(*kept, strict=True)]
@@ -132,17 +149,55 @@ def _linked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
 
+def _met(nodes: DataFrame, pieces: list[tuple[Column, Column, int, int]], threshold: int) -> DataFrame:
+    """(a, b): nodes that link at some anchor. Pieces: (word, piece, bits, digits of the code)."""
+    def with_word(word: Column, anchors: Column) -> Column:
+        return F.transform(anchors, lambda x: F.struct(x["anchor"].alias("anchor"), word.alias("word"), x["home"].alias("home")))
+
+    each = [with_word(word, _anchors(piece, bits, digits, side)) for side, (word, piece, bits, digits) in enumerate(pieces)]
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = spread.select("node", F.explode(F.concat(*each)).alias("n")).select("n.anchor", "n.word", "n.home", "node")
+    forest = lambda rows: _linked(rows, threshold)
+    return dealt.repartition("anchor").sortWithinPartitions("anchor", "word").mapInArrow(forest, "a bigint, b bigint")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints of `prints` (fp), enough of them to connect every component."""
-    fp = prints.select("fp").distinct()
-    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    near = fp.select("fp", F.explode(F.concat(_anchors(low, 0), _anchors(high, 1))).alias("n"))
-    dealt = near.select(F.col("n.anchor").alias("anchor"), "fp", F.col("n.home").alias("home"))
-    return dealt.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_linked, "a bigint, b bigint")
+    nodes = prints.select(F.col("fp").alias("node")).distinct()
+    word = F.col("node")
+    halves = [word.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(word, 32)]
+    return _met(nodes, [(word, h, 32, 5) for h in halves], THRESHOLD)
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes (node, fp) whose fingerprints of WORDS words show a Jaccard index of `similarity` or more."""
+    cosine = 2 * similarity / (1 + similarity)  # of two sets of equal size
+    most = int(64 * WORDS * np.arccos(cosine) / np.pi)
+    words = [F.col("fp")[j] for j in range(WORDS)]
+    pieces = [(w, F.shiftrightunsigned(w, 32 * h).bitwiseAND(F.lit((1 << 24) - 1)), 24, 4) for w in words for h in (0, 1)]
+    met = _met(nodes, pieces, WORD_THRESHOLD).distinct()
+    one, two = (nodes.select(F.col("node").alias(f"node_{x}"), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    pairs = met.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
+    differ = sum((F.bit_count(F.col("fp_a")[j].bitwiseXOR(F.col("fp_b")[j])) for j in range(WORDS)), F.lit(0))
+    return pairs.filter(differ <= most).select("a", "b")
+
+
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component_id) of all nodes (node, least): the least id that links reach."""
+    joined = connected_components(edges).withColumnRenamed("node", "of")
+    known = joined.join(nodes, F.col("of") == F.col("node")).select("node", "root", "least")
+    lead = known.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
+    linked = known.join(lead, F.col("root") == F.col("r")).select(F.col("node").alias("of"), "component")
+    return nodes.join(linked, F.col("node") == F.col("of"), "left").select("node", F.coalesce("component", "least").alias("component_id"))
+
+
+def _printed(docs: DataFrame, id_col: str, text_col: str, width: int, words: int) -> DataFrame:
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text_of_simhash"))
+    return texts.select("id", fingerprint_udf(width, words).alias("fp"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One row per document: (id, fingerprint as 16 hex digits, component_id, n_links kept in the spanning forest).
+    """One row per document: (id, fingerprint as 16 hex digits, component_id).
 
     Words are lower-cased (A-Z) runs of non-blank characters. A text with fewer words than `width` has one shingle,
     its whole word sequence; an empty or null text has fingerprint zero, which links like any other. A component's id
@@ -150,25 +205,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     component's id unless all its ids are null. Repeated rows appear as often as they came; columns other than the
     two named are not read, whatever their names.
     """
-    prints = materialise(docs.select(F.col(id_col).alias("id"), fingerprint_udf(width)(utf8(text_col)).alias("fp")), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    joined = connected_components(links(prints))
-    known = joined.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least")
-    lead = known.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
-    linked = known.join(lead, F.col("root") == F.col("r")).select("fp", "component")
-    every = materialise(nodes.join(linked, "fp", "left").select(F.col("fp").alias("node"), F.coalesce("component", "least").alias("component_id")), "classes")
+    prints = materialise(_printed(docs, id_col, text_col, width, 1).select("id", F.col("fp")[0].alias("fp")), "simhash")
+    nodes = prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least"))
+    every = materialise(_components(nodes, links(prints)), "classes")
     return prints.join(every, F.col("fp") == F.col("node")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """`docs` without all but one document of each component: the one with the smallest id stays, whole.
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) of every row, where texts link that are as similar as `similarity` by their fingerprints of
+    `width`-word shingles. Empty, null, short and repeated texts and null ids are treated as in `classes`."""
+    prints = materialise(_printed(docs, id_col, text_col, width, WORDS).select("id", F.xxhash64("fp").alias("node"), "fp"), "simhash")
+    nodes = materialise(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp")), "nodes")
+    every = materialise(_components(nodes.select("node", "least"), similar_links(nodes.select("node", "fp"), similarity)), "classes")
+    out = prints.select("id", F.col("node").alias("n")).join(every, F.col("n") == F.col("node"))
+    return out.select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` without all but one document of each group of similar ones: the one with the smallest id stays, whole.
 
     Of rows that repeat an id, one stays. Rows with a null id stay, as nothing names them. All columns are returned.
     """
     mark = fresh(docs.columns, "gone_id")
-    found = classes(docs, id_col, text_col, width)
+    found = similar_classes(docs, id_col, text_col, width, similarity)
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
     stay = docs.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col(mark), "left_anti")
     return stay.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
