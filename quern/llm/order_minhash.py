@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a fingerprint (each 32 bits, 8 hex digits).
-K, TUPLE, SKETCHES = 10, 2, 32
+K, TUPLE, SKETCHES = 10, 2, 48
 _ROOM = 1 << 21  # elements of one block of permuted hashes: bounds memory for very long texts
 
 
