@@ -149,7 +149,7 @@ def _atoms(text: str) -> list[Atom]:
 
 def rule(text: str) -> Rule:
     head, sep, body = text.strip().rstrip(".").partition(":-")
-    if not sep:
+    if not sep or not body.strip():
         raise ProgramError(f"a rule needs a body: {text!r}")
     (h,) = _atoms(head.strip())
     return Rule(h.relation, h.terms, tuple(_atoms(body.strip())))
