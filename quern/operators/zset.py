@@ -159,6 +159,10 @@ class ZSet:
         """Rows that both sides hold, each once."""
         return self.distinct().semi_join(other.distinct(), [(Typed(F.col(f"`{a}`"), self.typed()[a].type), Typed(F.col(f"`{b}`"), other.typed()[b].type)) for a, b in zip(self.columns, other.columns, strict=True)])
 
+    def table(self, rows: int = 20) -> str:
+        """The first rows with their weights, as text."""
+        return self.consolidated().df.select(F.col(W).alias("weight"), *(F.col(f"`{c}`") for c in self.columns))._show_string(rows, False)
+
     def weighted(self, name: str = "w") -> DataFrame:
         """Consolidated rows with their weight as an ordinary column."""
         return self.consolidated().df.withColumnRenamed(W, name)

@@ -11,7 +11,7 @@ from quern.functions.scalar import Assign, At, Binary, Block, Call, Const, Fn, L
 from quern.operators.identity import Referenced, canonical
 from quern.operators.integrity import key_violations, violations
 from quern.operators.zset import ZSet
-from quern.plans import fixpoint, ir
+from quern.plans import fixpoint, hypercube, ir
 from quern.plans.conjunctive import evaluate
 from quern.plans.program import Alias, AntiJoin, Difference, Distinct, EquiJoin, Iterate, Planner, Product, Project, Select, Source, ThetaJoin, Union
 from quern.plans.theory import Equal, Law, RuleAtom
@@ -98,6 +98,16 @@ def cq_triangle(spark, sf_dir):
     return cq(spark, sf_dir, "q(o, p, s) :- op(o, p), ps(p, s), so(s, o)")
 
 
+SQL_TRIANGLE = SQL["cq_triangle"]
+
+
+@register(SQL_TRIANGLE)
+def cq_triangle_cube(spark, sf_dir):
+    """The cyclic join, variable by variable in the cells of a cube."""
+    c = catalog(spark, sf_dir)
+    return hypercube.evaluate(ir.query("q(o, p, s) :- op(o, p), ps(p, s), so(s, o)"), ir.Catalog({k: c[k] for k in ("op", "ps", "so")}))
+
+
 @register("SELECT DISTINCT f.l_orderkey AS f, f.l_suppkey AS a, f.l_partkey AS g FROM lineitem f JOIN lineitem g ON f.l_partkey = g.l_partkey AND f.l_suppkey = g.l_suppkey")
 def cq_nested_terms(spark, sf_dir):
     return cq(spark, sf_dir, "q(f, a, g) :- line(f, g, a, _, _), ps(g, a)")

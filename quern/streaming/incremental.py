@@ -16,6 +16,14 @@ class CircuitError(ValueError):
     """A program that cannot be kept up incrementally."""
 
 
+def iterates(e: object) -> bool:
+    """Whether a fixpoint iteration is part of a program."""
+    if isinstance(e, P.Iterate):
+        return True
+    parts = e if isinstance(e, tuple) else vars(e).values() if isinstance(e, P.RELATIONAL) or isinstance(e, P.S.Block) else ()
+    return any(map(iterates, parts))
+
+
 @dataclass
 class Circuit:
     """A relational program over named inputs that is stepped by transactions.
@@ -31,6 +39,7 @@ class Circuit:
     schemas: Mapping[str, str]
     totals: dict[str, ZSet] = field(default_factory=dict)
     steps: int = 0
+    last: ZSet | None = None  # the value after the last step, of a program that iterates
 
     def __post_init__(self) -> None:
         for name, ddl in self.schemas.items():
@@ -108,7 +117,14 @@ class Circuit:
             if name not in self.totals:
                 raise CircuitError(f"unknown input {name}")
         change = {n: ZSet(written(z.consolidated().df, "delta")[1], self.totals[n].unsigned) for n, z in change.items()}
-        _, out = written(self.delta(self.program, self.totals, change).consolidated().df, "output")
+        if iterates(self.program):
+            now = self._full(self.program, self._after(self.totals, change)).consolidated()
+            now = ZSet(written(now.df, "value")[1], now.unsigned)
+            delta = now if self.last is None else now.difference(self.last)
+            self.last = now
+        else:
+            delta = self.delta(self.program, self.totals, change)
+        _, out = written(delta.consolidated().df, "output")
         self.steps += 1
         for n, z in change.items():
             total = self.totals[n].union(z)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quern.plans import conjunctive, fixpoint, ir
+from quern.plans import conjunctive, fixpoint, hypercube, ir
 
 
 def frame(spark, rows, arity):
@@ -94,7 +94,10 @@ def test_random_queries(spark, seed):
     cat = ir.Catalog({k: frame(spark, v, arities[k]) for k, v in tables.items()})
     while (q := random_query(rng, arities)) is None:
         pass
-    assert {tuple(r) for r in conjunctive.evaluate(q, cat, [f"h{k}" for k in range(len(q.head))]).collect()} == brute(q, tables)
+    names = [f"h{k}" for k in range(len(q.head))]
+    want = brute(q, tables)
+    assert {tuple(r) for r in conjunctive.evaluate(q, cat, names).collect()} == want
+    assert {tuple(r) for r in hypercube.evaluate(q, cat, names, cells=rng.choice((1, 8, 16))).collect()} == want
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -53,6 +53,7 @@ def test_unsigned_subtraction_and_division_fail_at_run_time(spark):
 def test_weights(spark):
     a, b = Z(spark, "k long", [(1,), (2,), (2,)], [1, 2, -3]), Z(spark, "j long", [(2,), (3,)], [4, 1])
     assert rows_of(a) == {(1,): 1, (2,): -1}
+    assert "weight" in a.table() and a.table().count("|") == 9
     assert rows_of(a.union(b)) == {(1,): 1, (2,): 3, (3,): 1}
     assert rows_of(a.difference(b)) == {(1,): 1, (2,): -5, (3,): -1}
     assert rows_of(a.distinct()) == {(1,): 1}
