@@ -87,3 +87,28 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(70, 70), (80, 81), (81, 80)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {80: 80, 81: 80}
+
+
+def plain_jaccard(one, two, width=5):
+    a, b = ({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (one.split(), two.split()))
+    return len(a & b) / len(a | b)
+
+
+def changed(rng, words, runs):
+    """A copy with `runs` words replaced, far enough apart to change five shingles each."""
+    out = list(words)
+    for p in rng.sample(range(1, len(words) // 6 - 1), runs):
+        out[p * 6] = f"new{rng.getrandbits(40)}"
+    return out
+
+
+def test_isolated_pairs_from_080_to_090_all_link(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(400):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(320)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(changed(rng, words, rng.randrange(3, 8))))]
+    likeness = [plain_jaccard(rows[2 * g][1], rows[2 * g + 1][1]) for g in range(400)]
+    assert sum(0.8 <= x < 0.85 for x in likeness) > 50 and sum(0.85 <= x < 0.9 for x in likeness) > 50
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [2 * g + 1 in kept for g in range(400)] == [x < 0.8 for x in likeness]
