@@ -112,3 +112,30 @@ def test_isolated_pairs_from_080_to_090_all_link(spark):
     assert sum(0.8 <= x < 0.85 for x in likeness) > 50 and sum(0.85 <= x < 0.9 for x in likeness) > 50
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [2 * g + 1 in kept for g in range(400)] == [x < 0.8 for x in likeness]
+
+
+def family(rng, *runs):
+    """A text and one copy with each number of replaced words, at places of their own."""
+    words = [f"w{rng.getrandbits(40)}" for _ in range(320)]
+    places = rng.sample(range(1, 52), sum(runs))
+    out = [" ".join(words)]
+    for n in runs:
+        copy = list(words)
+        for p in places[:n]:
+            copy[p * 6] = f"new{rng.getrandbits(40)}"
+        del places[:n]
+        out.append(" ".join(copy))
+    return out
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+
+
+def test_link_beside_a_half_similar_text_is_not_lost(spark):
+    rng = random.Random(12)
+    texts = [t for _ in range(60) for t in family(rng, 6, 9, 10)]
+    like = [plain_jaccard(texts[4 * g], texts[4 * g + k]) for g in range(60) for k in (1, 2, 3)]
+    assert all((x >= 0.8) == (k % 3 == 0) for k, x in enumerate(like)) and min(like) > 0.7
+    assert kept_of(spark, texts) == [i for i in range(240) if i % 4 != 1]
