@@ -139,3 +139,11 @@ def test_link_beside_a_half_similar_text_is_not_lost(spark):
     like = [plain_jaccard(texts[4 * g], texts[4 * g + k]) for g in range(60) for k in (1, 2, 3)]
     assert all((x >= 0.8) == (k % 3 == 0) for k, x in enumerate(like)) and min(like) > 0.7
     assert kept_of(spark, texts) == [i for i in range(240) if i % 4 != 1]
+
+
+def test_texts_below_the_threshold_stay(spark):
+    rng = random.Random(13)
+    texts = [t for _ in range(150) for t in family(rng, rng.randrange(8, 11))]
+    assert all(0.7 < plain_jaccard(texts[2 * g], texts[2 * g + 1]) < 0.8 for g in range(150))
+    texts += family(rng, *[5] * 10)[1:]  # a template's texts, 0.71 of each other
+    assert kept_of(spark, texts) == list(range(310))
