@@ -190,7 +190,7 @@ def _longs(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(rows.ravel().view(np.int64)))
 
 
-def minima_udf(width: int):
+def minima_udf(width: int, text_col: str) -> Column:
     """A column of structs: node, which names the set of shingles, its bands, and its sketch."""
     @F.arrow_udf("struct<node bigint, bands array<bigint>, sketch array<bigint>>")
     def signed(texts: pa.Array) -> pa.Array:
@@ -208,7 +208,7 @@ def minima_udf(width: int):
         sketch = np.bitwise_or.reduce(places, axis=2)
         return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), _longs(bands), _longs(sketch)], ["node", "bands", "sketch"])
 
-    return signed(utf8("text_of_simhash"))
+    return signed(utf8(text_col))
 
 
 def _shingle_set(width: int):
@@ -344,24 +344,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     )
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) of every row, where texts link whose sets of `width`-word shingles have a Jaccard index of
-    `similarity` or more. Empty, null, short and repeated texts and null ids are treated as in `classes`."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text_of_simhash"))
-    marked = materialise(texts.select("id", "text_of_simhash", minima_udf(width).alias("m")).select("id", "text_of_simhash", "m.*"), "marked")
-    nodes = materialise(marked.groupBy("node").agg(F.min("id").alias("least")), "nodes")
-    every = materialise(_components(nodes, similar_links(marked, width, similarity)), "classes")
-    out = marked.select("id", F.col("node").alias("n")).join(every, F.col("n") == F.col("node"))
-    return out.select(F.col("id").alias(id_col), "component_id")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` without all but one document of each group of similar ones: the one with the smallest id stays, whole.
 
-    Of rows that repeat an id, one stays. Rows with a null id stay, as nothing names them. All columns are returned.
+    Texts link whose sets of `width`-word shingles have a Jaccard index of `similarity` or more; empty, null and short
+    texts are treated as in `classes`. Of each group one row stays, also where rows of other groups have its id; of
+    different texts of a group under its smallest id, the one with the least hash stays. Rows with a null id stay, as
+    nothing names them. All columns are returned.
     """
-    mark = fresh(docs.columns, "gone_id")
-    found = similar_classes(docs, id_col, text_col, width, similarity)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
-    stay = docs.filter(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col(mark), "left_anti")
-    return stay.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    mark = fresh(docs.columns, "mark")
+    marked = materialise(docs.withColumn(mark, minima_udf(width, text_col)), "marked")
+    texts = marked.select(F.col(f"{mark}.node").alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text_of_simhash"), f"{mark}.bands", f"{mark}.sketch")
+    known = connected_components(similar_links(texts, width, similarity)).withColumnRenamed("node", "of")
+    nodes = texts.filter("id is not null").groupBy("node").agg(F.min("id").alias("id"))
+    rooted = nodes.join(known, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("first"))
+    lead = materialise(rooted.select(F.col("first.id").alias("lead_id"), F.col("first.node").alias("lead_node")), "leads")
+    mine = marked.select(F.col(mark).alias(mark), F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    stay = mine.join(lead, (F.col("id") == F.col("lead_id")) & (F.col(f"{mark}.node") == F.col("lead_node"))).dropDuplicates(["lead_id", "lead_node"])
+    return stay.select("row.*").unionByName(marked.filter(F.col(id_col).isNull()).select(docs.columns))

@@ -147,3 +147,10 @@ def test_texts_below_the_threshold_stay(spark):
     assert all(0.7 < plain_jaccard(texts[2 * g], texts[2 * g + 1]) < 0.8 for g in range(150))
     texts += family(rng, *[5] * 10)[1:]  # a template's texts, 0.71 of each other
     assert kept_of(spark, texts) == list(range(310))
+
+
+def test_one_of_each_group_stays_where_ids_repeat(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g"
+    rows = [(2, a), (5, a), (5, b), (7, b), (2, c), (2, c), (None, c)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, a), (5, b), (2, c), (None, c)], key=str)
