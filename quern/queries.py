@@ -139,10 +139,14 @@ def dl_ancestor_doubling(spark, sf_dir):
     return derived(spark, ir.Catalog(parent=catalog(spark, sf_dir)["parent"]), _ANCESTOR, "anc", double=True)
 
 
+def ancestor_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, ir.Catalog(parent=catalog(spark, sf_dir)["parent"]), _ANCESTOR, "anc", semi_naive=False)
+
+
 @register(f"{_TREE} SELECT x, y FROM r WHERE x <= 20 AND y <= 60")
 def dl_ancestor_naive(spark, sf_dir):
-    small = catalog(spark, sf_dir)["parent"].filter("child <= 60")
-    return derived(spark, ir.Catalog(parent=small), _ANCESTOR, "anc", semi_naive=False).filter("x <= 20")
+    """The closure of the whole table; of it the query returns the rows that its SQL asks for."""
+    return ancestor_naive(spark, sf_dir).filter("x <= 20 and y <= 60")
 
 
 @register("WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS x, (n_nationkey * 3 + 1) % 25 AS y FROM nation), r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x, y FROM r")
@@ -302,16 +306,21 @@ def ra_intersect(spark, sf_dir):
     return a.intersect(b).weighted()
 
 
+def fixpoint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ZSet.of(read(spark, sf_dir, "customer", "c_custkey div 2 as f", "c_custkey as t", "c_custkey % 5 as weight").filter("t > 1"))
+    start = Project(Source("e"), attrs(f=Ref("f"), t=Ref("t"), cost=Ref("weight"), hops=Const(1)))
+    step = EquiJoin(Alias(Ref("path"), "a"), Alias(Source("e"), "b"), ((Ref("t"), Ref("f")),), attrs(f=Ref("a.f"), t=Ref("b.t"), cost=Binary("+", Ref("a.cost"), Ref("b.weight")), hops=Binary("+", Ref("a.hops"), Const(1))))
+    return plan(spark, Iterate("path", start, step), e=e).weighted()
+
+
 @register(
     """WITH RECURSIVE e AS (SELECT c_custkey // 2 AS f, c_custkey AS t, c_custkey % 5 AS weight FROM customer WHERE c_custkey > 1 AND c_custkey <= 300),
     r(f, t, cost, hops) AS (SELECT f, t, weight, CAST(1 AS BIGINT) FROM e UNION ALL SELECT r.f, e.t, r.cost + e.weight, r.hops + 1 FROM r JOIN e ON r.t = e.f)
     SELECT f, t, cost, hops, CAST(1 AS BIGINT) AS w FROM r"""
 )
 def ra_fixpoint_paths(spark, sf_dir):
-    e = ZSet.of(read(spark, sf_dir, "customer", "c_custkey div 2 as f", "c_custkey as t", "c_custkey % 5 as weight").filter("t > 1 and t <= 300"))
-    start = Project(Source("e"), attrs(f=Ref("f"), t=Ref("t"), cost=Ref("weight"), hops=Const(1)))
-    step = EquiJoin(Alias(Ref("path"), "a"), Alias(Source("e"), "b"), ((Ref("t"), Ref("f")),), attrs(f=Ref("a.f"), t=Ref("b.t"), cost=Binary("+", Ref("a.cost"), Ref("b.weight")), hops=Binary("+", Ref("a.hops"), Const(1))))
-    return plan(spark, Iterate("path", start, step), e=e).weighted()
+    """The paths of the whole table; of them the query returns the rows that its SQL asks for."""
+    return fixpoint_paths(spark, sf_dir).filter("t <= 300")
 
 
 @register("SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 OR n_nationkey < 5 THEN 'x' ELSE 'x' END AS tag, CAST(1 AS BIGINT) AS w FROM nation WHERE n_regionkey <> 1 AND (n_regionkey = 2 OR n_nationkey < 5)")
@@ -373,6 +382,13 @@ def inc_anti_join(spark, sf_dir):
     return c.step({"o": orders(1)}).weighted()
 
 
+def retract_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = EquiJoin(Alias(Ref("p"), "a"), Alias(Source("e"), "b"), ((Ref("y"), Ref("x")),), attrs(x=Ref("a.x"), y=Ref("b.y")))
+    c = Circuit(spark, Iterate("p", Source("e"), step), {"e": "x long, y long"})
+    c.step({"e": ZSet.of(read(spark, sf_dir, "customer", "c_custkey div 2 as x", "c_custkey as y").filter("y > 1"))})
+    return c.step({"e": ZSet.rows(spark, "x long, y long", [(2, 5)], [-1])}).weighted()
+
+
 @register(
     """WITH RECURSIVE e AS (SELECT c_custkey // 2 AS x, c_custkey AS y FROM customer WHERE c_custkey > 1 AND c_custkey <= 100),
     r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
@@ -380,11 +396,8 @@ def inc_anti_join(spark, sf_dir):
     SELECT x, y, CAST(-1 AS BIGINT) AS w FROM (SELECT x, y FROM r EXCEPT SELECT x, y FROM s)"""
 )
 def inc_retract_closure(spark, sf_dir):
-    """A transitive closure's delta when one edge is taken away."""
-    step = EquiJoin(Alias(Ref("p"), "a"), Alias(Source("e"), "b"), ((Ref("y"), Ref("x")),), attrs(x=Ref("a.x"), y=Ref("b.y")))
-    c = Circuit(spark, Iterate("p", Source("e"), step), {"e": "x long, y long"})
-    c.step({"e": ZSet.of(read(spark, sf_dir, "customer", "c_custkey div 2 as x", "c_custkey as y").filter("y > 1 and y <= 100"))})
-    return c.step({"e": ZSet.rows(spark, "x long, y long", [(2, 5)], [-1])}).weighted()
+    """A transitive closure's delta when one edge of the whole table is taken away; the rows that its SQL asks for."""
+    return retract_closure(spark, sf_dir).filter("y <= 100")
 
 
 #: Five steps of a replicated register's history: (predecessor pairs, set operations).
