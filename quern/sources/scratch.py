@@ -8,9 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset a session in one process takes a temporary folder of its
+    machine; a cluster's executors would each see another one, so there it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/quern-checkpoints"
+    return root.rstrip("/")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quern-checkpoints"
-    return f"{root.rstrip('/')}/quern/{label}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/quern/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> tuple[str, DataFrame]:
@@ -18,3 +29,9 @@ def written(df: DataFrame, label: str) -> tuple[str, DataFrame]:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
