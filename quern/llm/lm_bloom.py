@@ -3,37 +3,40 @@
 Training counts words and word pairs over all training texts. A count c becomes the level 1 + floor(2 log2 c), and the
 filter holds (n-gram, 1), ..., (n-gram, level): asking for one level after the other until one is missing gives the
 count back to half a power of two, and seldom more than that. The filter is cut into segments by the front bits of the
-n-gram's hash; each is built where its counts are summed, so no count goes to the driver, only finished bits. A text's
-probability interpolates pairs with single words, both from the filter.
-
-The filter is broadcast and so has a size bound, FILTER_BYTES. Each segment gets the bits that its n-grams need, up to
-its part of the bound; beyond it the segment leaves out the rarest levels, single words last, by one rule at every
-size. What is counted grows with the corpus and is never bounded.
+n-gram's hash, and each segment is as large as its n-grams need: nothing is ever left out.
+
+A small filter (a bound on its size follows from the number of tokens) is broadcast, and texts are scored where they
+are. A filter that grows with the corpus can't be; there, texts ask and segments answer. Texts are taken in lots. A lot
+sends each segment the n-grams that fall there, with their counts in the lot's training texts; the segment adds up,
+builds its bits, probes them, and sends back a level for each n-gram and the exact count of each word. So one shuffle
+both counts and asks, no key of it is frequent (a lot names an n-gram once), and what a task holds is bounded by
+PART_BYTES of text in segments and LOT_TOKENS in lots, whatever the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import fold, materialise, utf8
 
-FILTER_BYTES = 64 << 20
+#: A filter and word counts that take no more than this, by their bound, are broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Bits set for each (n-gram, level), and the share of insertions to bits: about 45 % of bits set, 1 % false answers.
 PROBES, LOAD = 6, 0.6
 #: Weight of pairs against single words, and the constant added to counts.
 PAIR_WEIGHT, ADDED = 0.15, 0.1
-#: Words with at least a HEAD_SHARE-th of all tokens are broadcast with exact counts: HEAD_SHARE of them at most.
-HEAD_SHARE = 1 << 20
-#: Tokens that a worker counts at once, and the counting parts for each input partition.
-CHUNK_TOKENS = 1 << 20
-PARTS_PER_INPUT = 8
+#: Tokens that a worker takes at once, and bytes of text for each segment.
+LOT_TOKENS = 1 << 18
+PART_BYTES = 2 << 20
 WORDS, PAIRS = 0, 1
 _END = np.uint64(xxhash.xxh64_intdigest(b"", 1))  # no word is empty
 _START = np.uint64(xxhash.xxh64_intdigest(b"\n", 1))
@@ -69,238 +72,313 @@ def level(count: np.ndarray) -> np.ndarray:
 
 #: What a level stands for: about the middle of the counts that have it.
 LEVEL_COUNT = np.r_[0, 1, 1.4, 2, 3, [2 ** ((q - 1) / 2) * 1.19 for q in range(5, 130)]]
+_KEY_BYTES = 5
 
 
-def _pack48(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _key(h: np.ndarray, bits: int) -> np.ndarray:
+    """40 bits of a hash, after the bits that name its part."""
+    return (h << np.uint64(bits)) >> np.uint64(64 - 8 * _KEY_BYTES)
 
 
-def _unpack48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def _pack(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
 
 
-def _key(h: np.ndarray, bits: int) -> np.ndarray:
-    """48 bits of a hash, after the bits that name its part."""
-    return (h << np.uint64(bits)) >> np.uint64(16)
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _KEY_BYTES, 8), np.uint8)
+    out[:, :_KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _KEY_BYTES)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _positions(key: np.ndarray, kind: int, lev: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+def _positions(key: np.ndarray, kind: int, lev: np.ndarray | int, size: np.ndarray, probes: int) -> Iterator[np.ndarray]:
     """Where the bits of (n-gram, level) stand in a segment of `size` bits."""
-    g = _mixed(key * _A + lev.astype(np.uint64) * _B + np.uint64(kind + 1) * _C)
+    g = _mixed(key * _A + np.asarray(lev, np.uint64) * _B + np.uint64(kind + 1) * _C)
     one, two = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-    for j in range(PROBES):
+    for j in range(probes):
         yield (one + np.uint64(j) * two) % size
 
 
+def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], probes: int = PROBES, load: float = LOAD) -> bytes:
+    """Bits that hold the (key, count) n-grams of one part, all levels of all that occur."""
+    held = [(key[count > 0], level(count[count > 0])) for key, count in (words, pairs)]
+    size = -(-int(probes / load * sum(int(lev.sum()) for _, lev in held)) // 8) * 8
+    bits = np.zeros(size, bool)
+    for kind, (key, lev) in enumerate(held):
+        q = 1
+        while len(key):
+            for pos in _positions(key, kind, q, np.uint64(size), probes):
+                bits[pos.astype(np.int64)] = True
+            key, lev = key[lev > q], lev[lev > q]
+            q += 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 @dataclass
 class LogFrequencyFilter:
-    """All segments side by side: bytes, each segment's first bit and size in bits, and its lowest level by kind."""
+    """Segments side by side: bytes, and each segment's first bit and size in bits."""
 
     bits: int
     data: np.ndarray
     start: np.ndarray
     size: np.ndarray
-    low: np.ndarray
-
-    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """The level of each n-gram hash, by asking for higher levels until one is missing; 0 for one not held."""
-        part = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
-        key, found = _key(h, self.bits), np.zeros(len(h), np.int64)
-        at = np.flatnonzero(self.size[part] > 0)
-        q = self.low[kind][part]
-        while len(at):
+    probes: int = PROBES
+
+    @staticmethod
+    def of(bits: int, segments: dict[int, bytes], probes: int = PROBES) -> LogFrequencyFilter:
+        size = np.zeros(1 << bits, np.uint64)
+        for p, s in segments.items():
+            size[p] = len(s) * 8
+        data = b"".join(s for _, s in sorted(segments.items())) or b"\0"
+        return LogFrequencyFilter(bits, np.frombuffer(data, np.uint8), np.cumsum(size) - size, size, probes)
+
+    def levels(self, part: np.ndarray, key: np.ndarray, kind: int) -> np.ndarray:
+        """The level of each n-gram, by asking for higher levels until one is missing; 0 for one not held."""
+        found = np.zeros(len(key), np.int64)
+        at, q = np.flatnonzero(self.size[part] > 0), 1
+        while len(at) and q < len(LEVEL_COUNT):
             p, ok = part[at], np.ones(len(at), bool)
-            for pos in _positions(key[at], kind, q[at], self.size[p]):
+            for pos in _positions(key[at], kind, q, self.size[p], self.probes):
                 pos += self.start[p]
                 ok &= (self.data[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
             at = at[ok]
-            found[at] = q[at]
-            q[at] += 1
-            at = at[q[at] < len(LEVEL_COUNT)]
+            found[at] = q
+            q += 1
         return found
 
+    def levels_of(self, h: np.ndarray, kind: int) -> np.ndarray:
+        return self.levels(_parts(h, self.bits), _key(h, self.bits), kind)
 
-def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], most_bits: int) -> tuple[bytes, list[int]]:
-    """Bits that hold the (48-bit key, count) n-grams of one part, and the lowest level kept of words and of pairs."""
-    room, lows, kept = most_bits * LOAD, [], []
-    for (key, count), share in ((words, 0.5), (pairs, 1.0)):
-        lev = level(count)
-        low = 1
-        held = np.bincount(lev, minlength=2)
-        cost = lambda low: PROBES * sum(n * (q - low + 1) for q, n in enumerate(held.tolist()) if q >= low)  # noqa: E731, B023
-        while cost(low) > room * share:
-            low += 1
-        room -= cost(low)
-        lows.append(low)
-        kept.append((key[lev >= low], lev[lev >= low]))
-    size = int(np.ceil((most_bits * LOAD - room) / LOAD / 8)) * 8
-    data = np.zeros(size // 8, np.uint8)
-    for kind, (key, lev) in enumerate(kept):
-        q = lows[kind]
-        while len(key):
-            for pos in _positions(key, kind, np.full(len(key), q), np.uint64(size)):
-                np.bitwise_or.at(data, (pos >> np.uint64(3)).astype(np.int64), np.uint8(1) << (pos & np.uint64(7)).astype(np.uint8))
-            key, lev = key[lev > q], lev[lev > q]
-            q += 1
-    return data.tobytes(), lows
 
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+def _parts(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], data_col: str) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
-    """Rows (without their text) and token hashes, in lots of about CHUNK_TOKENS tokens."""
-    rows: list[tuple] = []
-    texts: list[np.ndarray] = []
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (id, held_out, data) in lots of about LOT_TOKENS tokens; a longer text is a lot of its own."""
+    rows: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
-        names = [c for c in batch.schema.names if c != data_col]
-        others = zip(*(batch.column(c).to_pylist() for c in names), strict=True) if names else [()] * batch.num_rows
-        for row, data in zip(others, batch.column(data_col).to_pylist(), strict=True):
-            rows.append(row)
-            texts.append(token_hashes(data))
-            n += len(texts[-1])
-            if n >= CHUNK_TOKENS:
-                yield rows, texts
-                rows, texts, n = [], [], 0
-    if rows:
-        yield rows, texts
-
-
-def counts(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
-    """Exact word counts (h, c) and finished filter segments of all texts of `train`, as one table, and the number of
-    bits that name a part. Rows: h and c of a word, or part, segment, low_words and low_pairs."""
-    parts = max(1, train.rdd.getNumPartitions()) * PARTS_PER_INPUT
-    bits = max(1, (parts - 1).bit_length())
-    most_bits = FILTER_BYTES * 8 >> bits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches, "data"):
-            tokens = np.concatenate(texts)
-            first = np.r_[0, np.cumsum([len(t) for t in texts])[:-1]]
-            out: dict[str, list] = {"part": [], "kind": [], "keys": [], "many": []}
-            for kind, h in ((WORDS, tokens), (PAIRS, pair_hashes(tokens, first))):
-                every, times = np.unique(h, return_counts=True)
-                at = np.searchsorted(every >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for p in np.flatnonzero(np.diff(at)).tolist():
-                    part, n = every[at[p] : at[p + 1]], times[at[p] : at[p + 1]]
-                    order = np.argsort(n > 1, kind="stable")
-                    part, n = part[order], n[order]
-                    out["part"].append(p)
-                    out["kind"].append(kind)
-                    out["keys"].append(part.astype("<u8").tobytes() if kind == WORDS else _pack48(_key(part, bits)))
-                    out["many"].append(n[n > 1].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())]))
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[tuple[list, list], ...] = (([], []), ([], []))
+        sizes = pc.binary_length(batch.column("data")).to_numpy() // 5 + 1
+        start = 0
+        for k, size in enumerate(sizes.tolist()):
+            if n and n + size > LOT_TOKENS:
+                yield pa.Table.from_batches([*rows, batch.slice(start, k - start)])
+                rows, n, start = [], 0, k
+            n += size
+        rows.append(batch.slice(start))
+    if n:
+        yield pa.Table.from_batches(rows)
+
+
+def _tokens(lot: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The token hashes of a lot's texts, one text after the other, and how many each text has."""
+    texts = [token_hashes(x.as_py()) for x in lot.column("data")]
+    return np.concatenate(texts), np.array([len(t) for t in texts])
+
+
+def _asked(lot: pa.Table, bits: int) -> Iterator[tuple[int, dict[str, bytes]]]:
+    """What a lot sends to each part: its n-grams in order of their hashes, and how often training texts hold them."""
+    tokens, lengths = _tokens(lot)
+    first = np.r_[0, lengths.cumsum()[:-1]]
+    learnt = np.repeat(~lot.column("held_out").to_numpy(), lengths).astype(float)
+    found = []
+    for h in (tokens, pair_hashes(tokens, first)):
+        every, inverse = np.unique(h, return_inverse=True)
+        times = np.bincount(inverse, learnt, len(every)).astype("<u4")
+        found.append((every, times, np.searchsorted(_parts(every, bits), np.arange((1 << bits) + 1))))
+    (words, wc, wat), (pairs, pc, pat) = found
+    for p in np.flatnonzero(np.diff(wat) + np.diff(pat)).tolist():
+        w, x = slice(wat[p], wat[p + 1]), slice(pat[p], pat[p + 1])
+        yield p, {"words": words[w].astype("<u8").tobytes(), "word_counts": wc[w].tobytes(), "pairs": _pack(_key(pairs[x], bits)), "pair_counts": pc[x].tobytes()}
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed counts, and where each given key stands among them."""
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(inverse, np.concatenate(counts), len(every)).astype(np.int64), inverse
+
+
+_MESSAGE = "part long, lot long, words binary, word_counts binary, pairs binary, pair_counts binary, state binary"
+_ANSWER = "lot long, part long, word_levels binary, word_counts binary, pair_levels binary, state binary, n long, v long, docs long, mass double, segment binary, words binary, filter_bytes long"
+_FIELDS = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+_EMPTY = b""
+
+
+def _record(ddl: str, rows: list[dict]) -> pa.RecordBatch:
+    """A batch of rows by name; what a row lacks is null."""
+    schema = pa.schema([(x.split()[0], _FIELDS[x.split()[1]]) for x in ddl.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _ask(bits: int, keep_texts: bool) -> Callable:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for k, lot in enumerate(_lots(batches)):
+            rows: list[dict] = []
+            for part, message in _asked(lot, bits):
+                rows.append({"part": part, "lot": task + k, **message})
+                if len(rows) == 256:
+                    yield _record(_MESSAGE, rows)
+                    rows = []
+            if keep_texts:
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, lot.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(lot)
+                rows.append({"part": -1 - task - k, "lot": task + k, "state": out.getvalue().to_pybytes()})
+            yield _record(_MESSAGE, rows)
+
+    return ask
+
+
+def _answer(bits: int, keep_segment: bool, probes: int, load: float) -> Callable:
+    """A segment sums what lots sent, builds its bits and answers from them; a lot's texts pass through as they are.
+    To be broadcast, a segment gives its bits and word counts instead."""
+    def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, lots, got = key[0].as_py(), [], {c: [] for c in ("words", "word_counts", "pairs", "pair_counts")}
         for b in batches:
-            for kind, keys, many in zip(b.column("kind").to_pylist(), b.column("keys").to_pylist(), b.column("many").to_pylist(), strict=True):
-                x = np.frombuffer(keys, "<u8").astype(np.uint64) if kind == WORDS else _unpack48(keys)
-                more = np.frombuffer(many, "<u4").astype(np.int64)
-                held[kind][0].append(x)
-                held[kind][1].append(np.r_[np.ones(len(x) - len(more), np.int64), more])
-        (h, c), pairs = _summed(*held[WORDS]), _summed(*held[PAIRS])
-        made, lows = segment((_key(h, bits), c), pairs, most_bits)
-        schema = pa.schema([("part", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("segment", pa.binary()), ("low_words", pa.int32()), ("low_pairs", pa.int32())])
-        for s in range(0, len(h), 50_000):
-            x = h[s : s + 50_000].view(np.int64)
-            none = [pa.nulls(len(x), t) for t in (pa.binary(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key[0].as_py(), np.int32)), pa.array(x), pa.array(c[s : s + 50_000]), *none], schema=schema)
-        yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()], "h": [None], "c": [None], "segment": [made], "low_words": [lows[0]], "low_pairs": [lows[1]]}, schema=schema)
-
-    counted = train.select(utf8(text_col).alias("data")).mapInArrow(count, "part int, kind int, keys binary, many binary")
-    summed = counted.groupBy("part").applyInArrow(add, "part int, h bigint, c bigint, segment binary, low_words int, low_pairs int")
-    return materialise(summed, "lm-counts"), bits
-
-
-def assemble(table: DataFrame, bits: int) -> LogFrequencyFilter:
-    """The broadcast filter from finished segments: FILTER_BYTES at most come to the driver."""
-    n = 1 << bits
-    start, size, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.ones((2, n), np.int64)
-    found: list[bytes] = []
-    at = 0
-    for r in table.filter("segment is not null").select("part", "segment", "low_words", "low_pairs").collect():
-        start[r.part], size[r.part], low[:, r.part] = at, len(r.segment) * 8, (r.low_words, r.low_pairs)
-        at += len(r.segment) * 8
-        found.append(bytes(r.segment))
-    return LogFrequencyFilter(bits, np.frombuffer(b"".join(found) or b"\0", np.uint8), start, size, low)
-
-
-def scored(docs: DataFrame, held_out: tuple[int, int] = (10, 0), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            if part < 0:
+                for lot, state in zip(b.column("lot"), b.column("state"), strict=True):
+                    yield _record(_ANSWER, [{"lot": lot.as_py(), "part": -1, "state": state.as_py()}])
+                continue
+            lots += b.column("lot").to_pylist()
+            for w, wc, p, pc in zip(*(b.column(c).to_pylist() for c in got), strict=True):
+                got["words"].append(np.frombuffer(w, "<u8").astype(np.uint64))
+                got["pairs"].append(_unpack(p))
+                got["word_counts"].append(np.frombuffer(wc, "<u4"))
+                got["pair_counts"].append(np.frombuffer(pc, "<u4"))
+        if part < 0:
+            return
+        sizes = {c: np.cumsum([len(x) for x in got[c]]) for c in ("words", "pairs")}
+        words, wc, w_at = _summed(got.pop("words"), got.pop("word_counts"))
+        pairs, pc, p_at = _summed(got.pop("pairs"), got.pop("pair_counts"))
+        made = segment((_key(words, bits), wc), (pairs, pc), probes, load)
+        f = LogFrequencyFilter(bits, np.frombuffer(made or b"\0", np.uint8), np.zeros(1 << bits, np.uint64), np.full(1 << bits, len(made) * 8, np.uint64), probes)
+        here = np.full(max(len(words), len(pairs)), part)
+        wl = f.levels(here[: len(words)], _key(words, bits), WORDS).astype(np.uint8)
+        known = wc > 0
+        end = wc[words == _END]
+        totals = {"part": part, "n": int(wc.sum()), "v": int(known.sum()), "docs": int(end[0]) if len(end) else 0, "mass": float(LEVEL_COUNT[wl[known]].sum()), "filter_bytes": len(made)}
+        if keep_segment:
+            yield _record(_ANSWER, [totals | {"segment": made, "words": words[known].astype("<u8").tobytes(), "word_counts": wc[known].astype("<u8").tobytes()}])
+            return
+        yield _record(_ANSWER, [totals])
+        pl = f.levels(here[: len(pairs)], pairs, PAIRS).astype(np.uint8)
+        rows: list[dict] = []
+        for k, lot in enumerate(lots):
+            w, p = (at[(size[k - 1] if k else 0) : size[k]] for at, size in ((w_at, sizes["words"]), (p_at, sizes["pairs"])))
+            rows.append({"lot": lot, "part": part, "word_levels": wl[w].tobytes(), "word_counts": wc[w].astype("<u8").tobytes(), "pair_levels": pl[p].tobytes()})
+            if len(rows) == 1000:
+                yield _record(_ANSWER, rows)
+                rows = []
+        if rows:
+            yield _record(_ANSWER, rows)
+
+    return answer
+
+
+@dataclass(frozen=True)
+class Totals:
+    """What a model has learnt from: tokens, distinct words, texts, and the counts that levels stand for, summed."""
+
+    n: int
+    v: int
+    docs: int
+    mass: float
+
+
+def probabilities(word: np.ndarray, pair: np.ndarray, context: np.ndarray, t: Totals) -> np.ndarray:
+    """p(word | the one before) from quantised counts: a share of the pair's count in its context's, and the word's
+    own with ADDED to every count. Single words sum to 1 over all known ones and one unknown one, but for false answers;
+    the pairs of a context to within the fifth by which a level misses a count, so all of it to within 3 %."""
+    single = (word + ADDED) / (t.mass + ADDED * (t.v + 1))
+    pair = np.minimum(pair, np.minimum(word, context))
+    return np.where(context > 0, PAIR_WEIGHT * pair / np.maximum(context, 1) + (1 - PAIR_WEIGHT) * single, single)
+
+
+def _scores(lot: pa.Table, t: Totals, find: Callable) -> pa.RecordBatch:
+    """The scores of a lot's texts. `find` gets the distinct words' and pairs' hashes, each in order, and gives the
+    words' levels and exact counts and the pairs' levels."""
+    tokens, lengths = _tokens(lot)
+    first = np.r_[0, lengths.cumsum()[:-1]]
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    words, w_at = np.unique(tokens, return_inverse=True)
+    pairs, p_at = np.unique(pair_hashes(tokens, first), return_inverse=True)
+    word_levels, exact, pair_levels = find(words, pairs)
+    word = LEVEL_COUNT[word_levels][w_at]
+    context = np.r_[0.0, word[:-1]]
+    context[first] = t.docs
+    p = probabilities(word, LEVEL_COUNT[pair_levels][p_at], context, t)
+    base = np.log10(exact + ADDED) - np.log10(t.n + ADDED * (t.v + 1))
+    columns = [lengths, np.bincount(of, exact[w_at] > 0, len(lengths)).astype(np.int64), np.bincount(of, base[w_at], len(lengths)), np.bincount(of, np.log10(p), len(lengths))]
+    plain = lot.combine_chunks()
+    return pa.RecordBatch.from_arrays([*(plain.column(c).combine_chunks() for c in ("id", "held_out")), *map(pa.array, columns)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def scored(
+    docs: DataFrame, held_out: tuple[int, int] = (10, 0), id_col: str = "doc_id", text_col: str = "text",
+    broadcast_bytes: int = BROADCAST_BYTES, part_bytes: int = PART_BYTES, probes: int = PROBES, load: float = LOAD,
+) -> DataFrame:
     """One row per document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     The model and the base counts learn from rows whose id's fold is not the held-out one; a null id is never held
     out. base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over tokens with exact counts; score is the filter
     model's log10 probability of the whole text. Null and empty texts have one token, the end. Repeated rows are each
-    scored. Without training texts every count is 0.
-
-    Exact counts of frequent words are broadcast (their number is bounded by their share of all tokens); those of all
-    other words are joined, each word of a document once, so no key of that join is frequent.
+    scored; ids of any type come back as they were; other columns are not read. Without training texts every count is
+    0. Scores are the same whether the filter is broadcast or asked by segment.
     """
     spark = docs.sparkSession
     out_of = F.coalesce(fold(id_col, held_out[0]) == held_out[1], F.lit(False))
-    table, bits = counts(docs.filter(~out_of), text_col)
-    total = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("h").alias("v")).first()
-    least = max(1, -(-total.n // HEAD_SHARE))
-    head = table.filter(F.col("c") >= least).select("h", "c").toPandas()
-    order = np.argsort(head["h"].to_numpy(np.int64).view(np.uint64))
-    head_h, head_c = head["h"].to_numpy(np.int64).view(np.uint64)[order], head["c"].to_numpy(np.int64)[order]
-    norm = total.n + ADDED * (total.v + 1)
-    texts_n = int(table.filter((F.col("h") == int(_END.view(np.int64)))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    shared = spark.sparkContext.broadcast((assemble(table, bits), head_h, head_c))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known_h, known_c = shared.value
-        log_norm = np.log10(norm)
-        for rows, texts in _chunks(batches, "data"):
-            lengths = np.array([len(t) for t in texts])
-            tokens = np.concatenate(texts)
-            first = np.r_[0, lengths.cumsum()[:-1]]
-            of = np.repeat(np.arange(len(texts)), lengths)
-            every, inverse = np.unique(tokens, return_inverse=True)
-            one = LEVEL_COUNT[model.levels(every, WORDS)]
-            pairs, back = np.unique(pair_hashes(tokens, first), return_inverse=True)
-            two = LEVEL_COUNT[model.levels(pairs, PAIRS)][back]
-            mine = one[inverse]
-            context = np.r_[0.0, mine[:-1]]
-            context[first] = texts_n
-            two = np.minimum(two, np.minimum(mine, context))
-            single = (mine + ADDED) / norm
-            p = np.where(context > 0, PAIR_WEIGHT * two / np.maximum(context, 1) + (1 - PAIR_WEIGHT) * single, single)
-            total_score = np.bincount(of, np.log10(p), len(texts))
-            place = np.minimum(np.searchsorted(known_h, every), max(0, len(known_h) - 1))
-            in_head = known_h[place] == every if len(known_h) else np.zeros(len(every), bool)
-            exact = np.where(in_head, known_c[place], 0) if len(known_h) else np.zeros(len(every), np.int64)
-            is_head = in_head[inverse]
-            base = np.bincount(of[is_head], np.log10(exact[inverse][is_head] + ADDED) - log_norm, len(texts))
-            known = np.bincount(of[is_head], minlength=len(texts))
-            rare_of, rare = of[~is_head].astype(np.uint64), inverse[~is_head].astype(np.uint64)
-            packed, times = np.unique(rare_of << np.uint64(32) | rare, return_counts=True)
-            cuts = np.searchsorted(packed >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64)).astype(np.int32)
-            rest_h = every[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
-            rest = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(rest_h), pa.array(times.astype(np.int32))], ["h", "tf"]))
-            row, doc, held = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths), pa.array(known), pa.array(base), pa.array(total_score), rest],
-                ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest"],
-            )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), out_of.alias("held_out"), utf8(text_col).alias("data"))
-    got = materialise(rows.mapInArrow(score, "row bigint, id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, rest array<struct<h:bigint,tf:int>>"), "lm-scores")
-    rare = got.select("row", F.explode("rest").alias("r")).select("row", F.col("r.h").alias("word"), F.col("r.tf").alias("tf"))
-    joined = rare.join(table.filter(F.col("c") < least).select("h", "c"), F.col("word") == F.col("h"), "left")
-    c = F.coalesce("c", F.lit(0))
-    more = joined.groupBy(F.col("row").alias("r")).agg(
-        F.sum(F.col("tf") * (F.log10(c + ADDED) - F.log10(F.lit(float(norm))))).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known")
-    )
-    return got.join(more, F.col("row") == F.col("r"), "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
-    )
+    rows = docs.select(F.col(id_col).alias("id"), out_of.alias("held_out"), utf8(text_col).alias("data"))
+    kind = rows.schema["id"].dataType.simpleString()
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes")).first()
+    bits = max(1, (size.bytes // part_bytes).bit_length())
+    # a text of b bytes has b / 2 + 1 tokens at most; a token adds 1.5 levels to a word and to a pair, and a word count
+    small = (size.bytes / 2 + size.n) * (2 * 1.5 * probes / load / 8 + 16) <= broadcast_bytes
+    messages = rows.mapInArrow(_ask(bits, not small), _MESSAGE)
+    table = materialise(messages.groupBy("part").applyInArrow(_answer(bits, small, probes, load), _ANSWER), "lm-answers")
+    sums = table.filter("n is not null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "docs", "mass"))).first()
+    t = Totals(int(sums.n), int(sums.v), int(sums.docs), float(sums.mass))
+    result = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    if small:
+        found = table.filter("segment is not null").select("part", "segment", "words", "word_counts").collect()
+        words, counts = (np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[c], "<u8") for r in found)]) for c in ("words", "word_counts"))
+        order = np.argsort(words)
+        shared = spark.sparkContext.broadcast((LogFrequencyFilter.of(bits, {r.part: bytes(r.segment) for r in found}, probes), words[order], counts[order].astype(np.int64)))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, known, count = shared.value
+
+            def find(words: np.ndarray, pairs: np.ndarray):
+                at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+                exact = np.where(known[at] == words, count[at], 0) if len(known) else np.zeros(len(words), np.int64)
+                return model.levels_of(words, WORDS), exact, model.levels_of(pairs, PAIRS)
+
+            for lot in _lots(batches):
+                yield _scores(lot, t, find)
+
+        got = rows.mapInArrow(score, result)
+    else:
+
+        def score_lot(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, answers = _EMPTY, []
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["part"] < 0:
+                        state = r["state"]
+                    else:
+                        answers.append((r["part"], r["word_levels"], r["word_counts"], r["pair_levels"]))
+            answers.sort()
+            joined = [b"".join(a[k] for a in answers) for k in (1, 2, 3)]
+
+            def find(words: np.ndarray, pairs: np.ndarray):
+                wl, c, pl = (np.frombuffer(x, kind) for x, kind in zip(joined, (np.uint8, "<u8", np.uint8), strict=True))
+                if len(wl) != len(words) or len(pl) != len(pairs):
+                    raise RuntimeError(f"{len(wl)} and {len(pl)} answers for {len(words)} words and {len(pairs)} pairs of a lot")
+                return wl, c.astype(np.int64), pl
+
+            with pa.ipc.open_stream(state) as s:
+                yield _scores(s.read_all(), t, find)
+
+        asked = table.filter("lot is not null").select("lot", "part", "word_levels", "word_counts", "pair_levels", "state")
+        got = asked.groupBy("lot").applyInArrow(score_lot, result)
+    return got.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(t.n).cast("long").alias("train_tokens"), "base_score", "score")
