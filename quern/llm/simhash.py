@@ -11,8 +11,12 @@ with what its anchor has gathered: no pair is lost, and pairs come from anchors,
 Such texts differ in a sixth of a fingerprint's bits, too many for anchors, so candidates come from BANDS bands of
 BAND_ROWS minima of the set under hash functions: two texts at exactly 0.8 share no band in (1 - 0.8^4)^24 = 3.2e-6 of
 all cases, and in fewer above. Every candidate is then held against the exact sets, and only links that this has
-confirmed make a comparison needless: each member of a band's bucket is compared with the bucket's least node first,
-then with every member that is not yet in its component.
+confirmed make a comparison needless. Each member of a band's bucket is compared with the bucket's least node first.
+Buckets that still hold several components are then searched for pairs across them. Exact bounds keep that from growing
+with the square of a group of half-similar texts: a shingle that no other of these texts has is in no intersection, so
+a text of n shingles, u of them its own, has at most n - u in common with any other, and a text with u > 0.2 n has no
+partner at all. Of the pairs that remain each component sends its likeliest to another one, which joins what belongs
+together; then all pairs that still lie across components are held against the sets.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import connected_components, discard, fresh, materialise, utf8
@@ -219,6 +223,16 @@ def _shingle_set(width: int):
     return shingle_set(utf8("text_of_simhash"))
 
 
+def _shingle_longs(width: int):
+    @F.arrow_udf("array<bigint>")
+    def shingle_longs(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts.to_pylist()]
+        ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+    return shingle_longs(utf8("text_of_simhash"))
+
+
 def jaccard(one: bytes, two: bytes) -> float:
     """Of two sorted sets of longs; two empty ones are alike."""
     both = np.sort(np.concatenate([np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)]))
@@ -247,22 +261,50 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float
     return out
 
 
-def _across(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of one bucket and different components whose sketches are near; rows (band, component, node and
-    the sketch's three longs) come sorted by band and component. One bucket is held at a time."""
+def _bound(n_a: np.ndarray, own_a: np.ndarray, n_b: np.ndarray, own_b: np.ndarray) -> np.ndarray:
+    """The largest Jaccard index that sets of these sizes can have, given how many elements no other set has."""
+    common = np.minimum(n_a - own_a, n_b - own_b)
+    return common / np.maximum(n_a + n_b - common, 1)
+
+
+def _across(rows: Iterator[pa.RecordBatch], similarity: float, likeliest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of one bucket and different components that can be similar; rows (band, component, node, n, own and
+    the sketch's three longs) come sorted by band and component. With `likeliest`, each component of a bucket gives the
+    pair whose sketches differ least. One bucket is held at a time."""
     kept: list[np.ndarray] = []
 
+    def pair_up(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     def near(bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        component, node, sketch = bucket[1], bucket[2], bucket[3:].view(np.uint64)
+        component, node, n, own, sketch = bucket[1], bucket[2], bucket[3], bucket[4], bucket[5:].view(np.uint64)
         ends = np.flatnonzero(np.r_[component[1:] != component[:-1], True]) + 1
         starts = np.r_[0, ends[:-1]]
-        for start, end in zip(starts[:-1].tolist(), ends[:-1].tolist(), strict=True):
+        best = np.full(len(ends), 1 << 20)
+        pick = np.full((len(ends), 2), -1)
+        of = np.repeat(np.arange(len(ends)), ends - starts)
+        for k, (start, end) in enumerate(zip(starts[:-1].tolist(), ends[:-1].tolist(), strict=True)):
             for i in range(start, end):
                 differ = sketch[:, end:] ^ sketch[:, i, None]
-                places = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(_EVEN)).sum(axis=0)
-                met = node[end:][places <= SKETCH_DIFFER]
-                if len(met):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), node[i])), pa.array(met)], ["a", "b"])
+                places = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(_EVEN)).sum(axis=0).astype(np.int64)
+                able = (places <= SKETCH_DIFFER) & (_bound(n[i], own[i], n[end:], own[end:]) >= similarity - 1e-9)
+                met = np.flatnonzero(able) + end
+                if not len(met):
+                    continue
+                if not likeliest:
+                    yield pair_up(np.full(len(met), node[i]), node[met])
+                    continue
+                places = places[met - end]
+                least = int(places.argmin())
+                if places[least] < best[k]:
+                    best[k], pick[k] = places[least], (i, met[least])
+                order = np.lexsort((places, of[met]))
+                first = order[np.r_[True, of[met][order][1:] != of[met][order][:-1]]]
+                better = first[places[first] < best[of[met[first]]]]
+                best[of[met[better]]] = places[better]
+                pick[of[met[better]]] = np.stack([np.full(len(better), i), met[better]], axis=1)
+        if likeliest and (found := np.unique(pick[pick[:, 0] >= 0], axis=0)).size:
+            yield pair_up(node[found[:, 0]], node[found[:, 1]])
 
     def buckets(part: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(part[0, 1:] != part[0, :-1]) + 1
@@ -272,7 +314,7 @@ def _across(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         if not batch.num_rows:
             continue
-        part = np.stack([batch.column(k).to_numpy() for k in range(6)])
+        part = np.stack([batch.column(k).to_numpy() for k in range(8)])
         if kept and part[0, -1] == kept[0][0, 0]:
             kept.append(part)
             continue
@@ -285,15 +327,46 @@ def _across(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from buckets(np.concatenate(kept, axis=1))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    several = placed.groupBy(F.col("band").alias("of_band")).agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    return placed.join(several, F.col("band") == F.col("of_band"), "left_semi")
+
+
+def _in_components(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """`placed` with its components joined by links between nodes."""
+    known = connected_components(links).select(F.col("node").alias("of"), "root")
+    names = placed.select("node", "component").distinct().join(known, F.col("of") == F.col("node"), "left")
+    # nodes keep their components: what is joined is the components that linked nodes have
+    through = names.filter("root is not null").select(F.col("component").alias("a"), F.col("root").alias("b"))
+    joined = connected_components(through).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    out = placed.join(joined, F.col("component") == F.col("was"), "left")
+    return out.select(*(F.coalesce("now", "component").alias("component") if c == "component" else F.col(c) for c in placed.columns))
+
+
+def _with_own(placed: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """`placed` with n and own, the size of each node's set of shingles and how many of them no other node here has,
+    without the nodes that so many make unlike all others."""
+    nodes = placed.select(F.col("node").alias("needed")).distinct()
+    one_each = texts.join(nodes, F.col("node") == F.col("needed"), "left_semi").dropDuplicates(["node"])
+    sets = materialise(one_each.select("node", _shingle_longs(width).alias("shingles")), "shingles")
+    held = sets.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("of"), F.max("node").alias("last"))
+    own = held.filter("of = last").groupBy("of").agg(F.count("*").alias("own"))
+    counted = sets.select("node", F.size("shingles").cast("long").alias("n")).join(own, F.col("of") == F.col("node"), "left")
+    able = materialise(counted.select(F.col("node").alias("m"), "n", F.coalesce("own", F.lit(0)).alias("own")).filter(F.col("n") - F.col("own") >= F.col("n") * (similarity - 1e-9)), "able")
+    out = materialise(placed.join(able, F.col("m") == F.col("node")).select("band", "component", "node", "n", "own", "s0", "s1", "s2"), "placed")
+    discard(sets)
+    return out
+
+
 def similar_links(marked: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b): links between the nodes of `marked` (text_of_simhash, node, bands, sketch) whose sets of shingles have a
     Jaccard index of `similarity` or more, enough of them to connect every component of the candidates."""
     texts = marked.select("node", "text_of_simhash")
     sketches = materialise(marked.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sketches")
     dealt = sketches.select("node", F.explode("bands").alias("band"))
-    inside = Window.partitionBy("band").orderBy("node")
-    led = dealt.select("band", "node", F.first("node").over(inside).alias("lead"), F.lead("node").over(inside).alias("more"))
-    met = materialise(led.filter("node <> lead or more is not null").select("band", "node", "lead"), "bands")
+    leads = dealt.groupBy(F.col("band").alias("of_band")).agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
+    met = materialise(dealt.join(leads, F.col("band") == F.col("of_band")).select("band", "node", "lead"), "bands")
     one, two = (sketches.select(F.col("node").alias(f"node_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     stars = met.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     seen = stars.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
@@ -304,13 +377,17 @@ def similar_links(marked: DataFrame, width: int, similarity: float) -> DataFrame
     member = sketches.join(known, F.col("of") == F.col("node"), "left").select(
         F.col("node").alias("n"), F.coalesce("root", "node").alias("component"), *(F.col("sketch")[j].alias(f"s{j}") for j in range(3))
     )
-    placed = materialise(met.join(member, F.col("n") == F.col("node")).select("band", "component", "node", "s0", "s1", "s2"), "placed")
-    mixed = placed.groupBy(F.col("band").alias("of_band")).agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    open_ = placed.join(mixed, F.col("band") == F.col("of_band"), "left_semi").repartition("band").sortWithinPartitions("band", "component")
-    second = _confirmed(open_.mapInArrow(_across, "a bigint, b bigint"), texts, width, similarity)
+    placed = materialise(_mixed(met.join(member, F.col("n") == F.col("node")).select("band", "component", "node", "s0", "s1", "s2")), "placed")
+    able = _with_own(placed, texts, width, similarity)
+    found = [first]
+    for likeliest in (True, False):
+        across = lambda rows, likeliest=likeliest: _across(rows, similarity, likeliest)
+        open_ = _mixed(able).repartition("band").sortWithinPartitions("band", "component")
+        found.append(_confirmed(open_.mapInArrow(across, "a bigint, b bigint"), texts, width, similarity))
+        able = _in_components(able, found[-1]) if likeliest else able
     for done in (met, placed, sketches):
         discard(done)
-    return first.unionAll(second)
+    return found[0].unionAll(found[1]).unionAll(found[2])
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
