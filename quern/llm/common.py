@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources import scratch
+from quern.sources.scratch import written
+
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds of very long texts.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
@@ -25,20 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; a temp folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/quern-checkpoints"
-    return f"{root.rstrip('/')}/quern/{label}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared scratch folder and read it again: a cut of lineage that outlives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    path, out = written(df, label)
     out._quern_path = path
     return out
 
@@ -47,9 +37,7 @@ def discard(df: DataFrame) -> None:
     """Remove a materialised table that nothing reads any more."""
     path = getattr(df, "_quern_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        scratch.discard(df.sparkSession, path)
 
 
 def fresh(columns: Iterable[str], base: str) -> str:

@@ -29,13 +29,15 @@ def _blocks(data: bytes) -> list[bytes]:
 
 @dataclass
 class CompressionClassifier:
-    """score = logistic(weights . (1, difference, rate)): how much smaller the good dictionary makes the text than the
-    bad one, over the sum of both sizes, and that sum over twice the text's bytes (very low for what repeats itself).
+    """How much smaller the good dictionary makes a text than the bad one, over the sum of both sizes (the difference),
+    calibrated twice: `difference_score` = logistic(a + b difference), and `score`, which also sees that sum over twice
+    the text's bytes (the rate, very low for what repeats itself).
 
-    Without both dictionaries (no labels, or one class only) the score is `prior` for every text."""
+    Without both dictionaries (no labels, or one class only) every score is `prior`, every difference 0."""
 
     dictionaries: tuple[bytes, bytes] | None
     weights: list[float]
+    difference_weights: list[float]
     prior: float = 0.5
     _engines: list = field(default_factory=list, repr=False)
 
@@ -57,11 +59,30 @@ class CompressionClassifier:
         bad, good = self.sizes(data)
         return (bad - good) / (bad + good), (bad + good) / (2 * len(data) + 16)
 
-    def score(self, data: bytes) -> float:
+    def judge(self, data: bytes) -> tuple[float, float, float]:
+        """(score, difference, difference_score) of a text."""
         if self.dictionaries is None:
-            return self.prior
-        x = self.weights[0] + float(np.dot(self.weights[1:], self.features(data)))
-        return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
+            return self.prior, 0.0, self.prior
+        x = self.features(data)
+        return _logistic(self.weights, x), x[0], _logistic(self.difference_weights, x[:1])
+
+    def score(self, data: bytes) -> float:
+        return self.judge(data)[0]
+
+
+def _logistic(weights: list[float], x: tuple[float, ...]) -> float:
+    at = weights[0] + float(np.dot(weights[1:], x))
+    return float(1 / (1 + np.exp(-np.clip(at, -40, 40))))
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Weights (first the constant) of a logistic regression on standardised columns, a little ridged."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    a, w = np.c_[np.ones(len(x)), (x - mean) / scale], np.zeros(x.shape[1] + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + _RIDGE * np.eye(len(w)), a.T @ (y - p) - _RIDGE * w)
+    return [float(w[0] - np.sum(w[1:] * mean / scale)), *map(float, w[1:] / scale)]
 
 
 def _dictionary(texts: list[bytes], order: np.random.Generator) -> bytes:
@@ -85,16 +106,11 @@ def fit(sample: list[tuple[int, bytes, int]]) -> CompressionClassifier:
     prior = (sum(r[2] for r in rows) + 1) / (len(rows) + 2)
     halves = [[r for k, r in enumerate(rows) if k % 2 == h] for h in (0, 1)]
     if any({r[2] for r in h} != {0, 1} for h in halves):
-        return CompressionClassifier(None, [], prior)
+        return CompressionClassifier(None, [], [], prior)
     order = np.random.default_rng(7)
-    model = CompressionClassifier(tuple(_dictionary([t for _, t, y in halves[0] if y == label], order) for label in (0, 1)), [])
+    model = CompressionClassifier(tuple(_dictionary([t for _, t, y in halves[0] if y == label], order) for label in (0, 1)), [], [])
     x, y = np.array([model.features(t) for _, t, _ in halves[1]]), np.array([y for *_, y in halves[1]], float)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    a, w = np.c_[np.ones(len(x)), (x - mean) / scale], np.zeros(3)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + _RIDGE * np.eye(3), a.T @ (y - p) - _RIDGE * w)
-    model.weights = [float(w[0] - np.sum(w[1:] * mean / scale)), *map(float, w[1:] / scale)]
+    model.weights, model.difference_weights = _calibrated(x, y), _calibrated(x[:, :1], y)
     return model
 
 
@@ -104,21 +120,26 @@ def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_
 
 
 def score_column(model: CompressionClassifier, text_col: str = "text"):
-    """A column: the score of each whole text; null and empty texts score as an empty text."""
-    @F.arrow_udf("double")
+    """A column of structs (score, difference, difference_score) of each whole text; null and empty texts score as an
+    empty text."""
+    names = ("score", "difference", "difference_score")
+
+    @F.arrow_udf(f"struct<{','.join(f'{n}:double' for n in names)}>")
     def compression_score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        rows = np.array([model.judge(t) for t in texts.to_pylist()], float).reshape(-1, len(names))
+        return pa.StructArray.from_arrays([pa.array(rows[:, k].copy()) for k in range(len(names))], list(names))
 
     return compression_score(utf8(text_col))
 
 
 def scored(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) of every row; repeated rows are scored alike and all returned."""
-    got = docs.select(F.col(id_col), score_column(model, text_col).alias("score"))
+    """(id, score, difference, difference_score, predicted) of every row; repeated rows are scored alike and all
+    returned, rows with a null id too; other columns are not read."""
+    got = docs.select(F.col(id_col).alias("id"), score_column(model, text_col).alias("s")).select(F.col("id").alias(id_col), "s.*")
     return got.select("*", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: CompressionClassifier, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows scored below 0.5; columns as they came."""
+    """`docs` without the rows scored below 0.5; columns as they came, also such as share a name with one of a score."""
     mark = fresh(docs.columns, "compression_score")
-    return docs.withColumn(mark, score_column(model, text_col)).filter(F.col(mark) >= 0.5).drop(mark)
+    return docs.withColumn(mark, score_column(model, text_col)["score"]).filter(F.col(mark) >= 0.5).drop(mark)

@@ -7,19 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import compression_quality, decision_list, license_scan, lm_bloom, mixing, order_minhash, packing, sharding, simhash, token_rollup
-from quern.llm.common import fold, materialise, scratch_dir, table
+from quern.llm.common import fold, materialise, table
+from quern.sources.scratch import scratch_path
+
+
+#: Close to equal shares, but no source more than one and a half times.
+MIX = {"target_entropy": 0.9999, "max_epochs": 1.5}
 
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.mixed(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "source", *(F.col(f"mix_{k}").alias(k) for k in ("tokens", "weight", "epoch", "block", "order")))
+    docs = table(spark, sf_dir, "documents")
+    counted = materialise(docs.select("doc_id", "source", mixing.token_count("text").alias("tokens")), "mix-tokens")
+    names = mixing.column_names(counted.columns)
+    return mixing.mixed(counted, **MIX, tokens_col="tokens").select("doc_id", "source", *(F.col(n).alias(k) for k, n in names.items()))
 
 
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = compression_quality.fit_on(docs, table(spark, sf_dir, "labels"))
     got = compression_quality.scored(docs, model)
-    return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return got.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "difference", "difference_score")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +65,9 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     under the first one's name; and the first batch is sent a second time, which must change nothing."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     counts = materialise(token_rollup.counted(docs, ("words-1", "words-2")), "token-counts")
-    marked = counts.join(labels.select("doc_id", "quality", "toxic"), "doc_id")
-    ledger = token_rollup.TokenLedger(spark, scratch_dir(spark, "ledger"))
+    one_each = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marked = counts.join(one_each, "doc_id")
+    ledger = token_rollup.TokenLedger(spark, scratch_path(spark, "ledger"))
     ledger.commit("load", token_rollup.inserts(counts))
     ledger.commit("withdraw", token_rollup.deletes(marked.filter("toxic = 1")))
     again = marked.filter("toxic = 0 and quality = 0")
@@ -101,7 +109,8 @@ SELECT doc_id, n_bytes, depth, shard FROM e WHERE bytes <= 1048576 OR n = 1
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
     "op10_token_rollup": f"""
 WITH c AS ({_COUNTS}),
-m AS (SELECT c.*, coalesce(l.toxic, 0) AS toxic, coalesce(l.quality, 1) AS quality FROM c LEFT JOIN labels l USING (doc_id)),
+m AS (SELECT c.*, coalesce(l.toxic, 0) AS toxic, coalesce(l.quality, 1) AS quality
+      FROM c LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
 k AS (
     SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN quality = 0 THEN n2 ELSE n1 END AS n FROM m WHERE toxic = 0
     UNION ALL SELECT source, lang, 'words-2', n2 FROM m WHERE toxic = 0)

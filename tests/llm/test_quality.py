@@ -55,8 +55,40 @@ def test_compression_query(spark):
     got = {r.doc_id: r for r in op2_compression_quality(spark, DATA).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
-    held = [(got[i].predicted, q) for i, q in labels.items() if got[i].held_out]
-    assert sum(p == q for p, q in held) / len(held) > 0.93
+    held = [(got[i].predicted, got[i].difference_score, q) for i, q in labels.items() if got[i].held_out]
+    assert sum(p == q for p, _, q in held) / len(held) > 0.93
+    assert sum((d >= 0.5) == (q == 1) for _, d, q in held) / len(held) > 0.9  # the difference alone
+
+
+def test_scores_against_sizes_by_hand(spark):
+    """Differences and scores of a table from compressed sizes worked out apart."""
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.fit_on(docs, labels)
+    known = [zstandard.ZstdCompressionDict(d) for d in model.dictionaries]
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    logistic = lambda w, *x: 1 / (1 + math.exp(-max(-40, min(40, w[0] + sum(a * b for a, b in zip(w[1:], x, strict=True))))))
+    for r in Q.scored(docs, model).collect():
+        data = texts[r.doc_id]
+        sizes = []
+        for d in known:
+            c = zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[k : k + 512])) for k in range(0, max(1, len(data)), 512)))
+        difference, rate = (sizes[0] - sizes[1]) / sum(sizes), sum(sizes) / (2 * len(data) + 16)
+        assert math.isclose(r.difference, difference, abs_tol=0.02)
+        assert math.isclose(r.score, logistic(model.weights, r.difference, rate), abs_tol=0.02)
+        assert math.isclose(r.difference_score, logistic(model.difference_weights, r.difference), rel_tol=1e-9)
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50)
+    docs.selectExpr("if(doc_id % 7 = 0, null, doc_id) as doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = op2_compression_quality(spark, str(tmp_path)).collect()
+    assert len(rows) == 50 and all(r.held_out is False for r in rows if r.doc_id is None) and any(r.doc_id is None for r in rows)
 
 
 def test_awkward_rows_are_scored_and_kept_whole(spark):

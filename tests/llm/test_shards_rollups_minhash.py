@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quern.llm import order_minhash as O
 from quern.llm import sharding as S
 from quern.llm import token_rollup as R
-from quern.llm.common import scratch_dir
 from quern.llm.queries import SQL, op8_extendible_sharding, op10_token_rollup
+from quern.sources.scratch import scratch_path
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,7 +60,7 @@ def test_queries_have_sql(spark):
 
 
 def test_ledger_is_idempotent_and_signed(spark):
-    ledger = R.TokenLedger(spark, scratch_dir(spark, "test-ledger"))
+    ledger = R.TokenLedger(spark, scratch_path(spark, "test-ledger"))
     assert ledger.totals().count() == 0
     docs = spark.createDataFrame([(1, "a b", "s", "en"), (2, "c-d e", "s", None), (3, None, None, "en"), (4, "", "s", "en")], "doc_id long, text string, source string, lang string")
     counts = R.counted(docs, ("words-1", "words-2"))
@@ -77,6 +77,27 @@ def test_ledger_is_idempotent_and_signed(spark):
     assert ledger.commit("none", R.inserts(counts.limit(0)))
 
 
+def test_two_writers_of_one_batch_count_once(spark, monkeypatch):
+    """Both find the id free and write; the first claim stands, the other's rows are never read."""
+    ledger = R.TokenLedger(spark, scratch_path(spark, "race"))
+    docs = spark.createDataFrame([(1, "a b c", "s", "en")], "doc_id long, text string, source string, lang string")
+    counts = R.counted(docs, ("words-1",))
+    monkeypatch.setattr(R.TokenLedger, "committed", lambda self, batch_id: False)
+    assert [R.TokenLedger(spark, ledger.path).commit("b", R.inserts(counts)) for _ in range(3)] == [True, False, False]
+    assert [(r.docs, r.tokens) for r in ledger.totals().collect()] == [(1, 3)]
+    # an attempt that was written and never claimed (its writer was lost) counts nothing
+    R.inserts(counts).withColumn("attempt", F.lit("lost")).write.parquet(f"{ledger.path}/batches/lost")
+    assert [(r.docs, r.tokens) for r in ledger.totals().collect()] == [(1, 3)]
+
+
+def test_repeated_labels_withdraw_once(spark, tmp_path):
+    docs = [(1, "a b", "en", "s"), (2, "c", "en", "s"), (3, "d e f", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (1, 1, 1), (3, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.tokenizer: (r.docs, r.tokens) for r in op10_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {"words-1": (2, 4), "words-2": (2, 4)}
+
+
 def plain_numbered(text):
     k = min(O.K, len(text))
     seen = Counter()
