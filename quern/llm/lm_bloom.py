@@ -8,9 +8,12 @@ n-gram's hash, and each segment is as large as its n-grams need: nothing is ever
 A small filter (a bound on its size follows from the number of tokens) is broadcast, and texts are scored where they
 are. A filter that grows with the corpus can't be; there, texts ask and segments answer. Texts are taken in lots. A lot
 sends each segment the n-grams that fall there, with their counts in the lot's training texts; the segment adds up,
-builds its bits, probes them, and sends back a level for each n-gram and the exact count of each word. So one shuffle
-both counts and asks, no key of it is frequent (a lot names an n-gram once), and what a task holds is bounded by
-PART_BYTES of text in segments and LOT_TOKENS in lots, whatever the corpus.
+builds its bits, probes them, and sends back a level for each n-gram and the exact count of each word, which meet the
+lot's texts again. So one shuffle both counts and asks, no key of it is frequent (a lot names an n-gram once), and what
+a task holds is bounded by PART_BYTES of text in segments and LOT_TOKENS in lots, whatever the corpus.
+
+Words are told apart by 48 bits of their hash beside those that name a segment, of which there are more in a larger
+corpus: of ten million words two are taken for one with a chance below a thousandth.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ PROBES, LOAD = 6, 0.6
 #: Weight of pairs against single words, and the constant added to counts.
 PAIR_WEIGHT, ADDED = 0.15, 0.1
 #: Tokens that a worker takes at once, and bytes of text for each segment.
-LOT_TOKENS = 1 << 18
+LOT_TOKENS = 1 << 19
 PART_BYTES = 2 << 20
 WORDS, PAIRS = 0, 1
 _END = np.uint64(xxhash.xxh64_intdigest(b"", 1))  # no word is empty
@@ -72,21 +74,23 @@ def level(count: np.ndarray) -> np.ndarray:
 
 #: What a level stands for: about the middle of the counts that have it.
 LEVEL_COUNT = np.r_[0, 1, 1.4, 2, 3, [2 ** ((q - 1) / 2) * 1.19 for q in range(5, 130)]]
-_KEY_BYTES = 5
+#: Bytes of a word's and of a pair's hash that are kept, after the bits that name the part.
+_KEY_BYTES = (6, 5)
 
 
-def _key(h: np.ndarray, bits: int) -> np.ndarray:
-    """40 bits of a hash, after the bits that name its part."""
-    return (h << np.uint64(bits)) >> np.uint64(64 - 8 * _KEY_BYTES)
+def _key(h: np.ndarray, bits: int, kind: int) -> np.ndarray:
+    """The kept bits of a hash, after the bits that name its part."""
+    return (h << np.uint64(bits)) >> np.uint64(64 - 8 * _KEY_BYTES[kind])
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
+def _pack(x: np.ndarray, kind: int) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _KEY_BYTES[kind]].tobytes()
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // _KEY_BYTES, 8), np.uint8)
-    out[:, :_KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _KEY_BYTES)
+def _unpack(raw: bytes, kind: int) -> np.ndarray:
+    n = _KEY_BYTES[kind]
+    out = np.zeros((len(raw) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
@@ -146,7 +150,7 @@ class LogFrequencyFilter:
         return found
 
     def levels_of(self, h: np.ndarray, kind: int) -> np.ndarray:
-        return self.levels(_parts(h, self.bits), _key(h, self.bits), kind)
+        return self.levels(_parts(h, self.bits), _key(h, self.bits, kind), kind)
 
 
 def _parts(h: np.ndarray, bits: int) -> np.ndarray:
@@ -189,7 +193,7 @@ def _asked(lot: pa.Table, bits: int) -> Iterator[tuple[int, dict[str, bytes]]]:
     (words, wc, wat), (pairs, pc, pat) = found
     for p in np.flatnonzero(np.diff(wat) + np.diff(pat)).tolist():
         w, x = slice(wat[p], wat[p + 1]), slice(pat[p], pat[p + 1])
-        yield p, {"words": words[w].astype("<u8").tobytes(), "word_counts": wc[w].tobytes(), "pairs": _pack(_key(pairs[x], bits)), "pair_counts": pc[x].tobytes()}
+        yield p, {"words": _pack(_key(words[w], bits, WORDS), WORDS), "word_counts": wc[w].tobytes(), "pairs": _pack(_key(pairs[x], bits, PAIRS), PAIRS), "pair_counts": pc[x].tobytes()}
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,10 +202,10 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return every, np.bincount(inverse, np.concatenate(counts), len(every)).astype(np.int64), inverse
 
 
-_MESSAGE = "part long, lot long, words binary, word_counts binary, pairs binary, pair_counts binary, state binary"
-_ANSWER = "lot long, part long, word_levels binary, word_counts binary, pair_levels binary, state binary, n long, v long, docs long, mass double, segment binary, words binary, filter_bytes long"
+_MESSAGE = "part long, lot long, words binary, word_counts binary, pairs binary, pair_counts binary"
+_ANSWER = "lot long, part long, word_levels binary, word_counts binary, pair_levels binary, n long, v long, docs long, mass double, segment binary, words binary, filter_bytes long"
+_TEXTS = "lot long, texts binary"
 _FIELDS = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
-_EMPTY = b""
 
 
 def _record(ddl: str, rows: list[dict]) -> pa.RecordBatch:
@@ -210,56 +214,59 @@ def _record(ddl: str, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
 
-def _ask(bits: int, keep_texts: bool) -> Callable:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The lots of a partition (column `at`) with numbers of their own."""
+    for k, lot in enumerate(_lots(batches)):
+        yield (lot.column("at")[0].as_py() << 32) + k, lot.drop_columns(["at"])
+
+
+def _ask(bits: int) -> Callable:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        for k, lot in enumerate(_lots(batches)):
+        for number, lot in _numbered(batches):
             rows: list[dict] = []
             for part, message in _asked(lot, bits):
-                rows.append({"part": part, "lot": task + k, **message})
+                rows.append({"part": part, "lot": number, **message})
                 if len(rows) == 256:
                     yield _record(_MESSAGE, rows)
                     rows = []
-            if keep_texts:
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, lot.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(lot)
-                rows.append({"part": -1 - task - k, "lot": task + k, "state": out.getvalue().to_pybytes()})
             yield _record(_MESSAGE, rows)
 
     return ask
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lots' texts, packed: the same lots that asked, as the partitions and their order are the same."""
+    for number, lot in _numbered(batches):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, lot.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(lot)
+        yield _record(_TEXTS, [{"lot": number, "texts": out.getvalue().to_pybytes()}])
+
+
 def _answer(bits: int, keep_segment: bool, probes: int, load: float) -> Callable:
-    """A segment sums what lots sent, builds its bits and answers from them; a lot's texts pass through as they are.
-    To be broadcast, a segment gives its bits and word counts instead."""
+    """A segment sums what lots sent, builds its bits and answers from them. To be broadcast, it gives its bits and word
+    counts instead."""
     def answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, lots, got = key[0].as_py(), [], {c: [] for c in ("words", "word_counts", "pairs", "pair_counts")}
         for b in batches:
-            if part < 0:
-                for lot, state in zip(b.column("lot"), b.column("state"), strict=True):
-                    yield _record(_ANSWER, [{"lot": lot.as_py(), "part": -1, "state": state.as_py()}])
-                continue
             lots += b.column("lot").to_pylist()
             for w, wc, p, pc in zip(*(b.column(c).to_pylist() for c in got), strict=True):
-                got["words"].append(np.frombuffer(w, "<u8").astype(np.uint64))
-                got["pairs"].append(_unpack(p))
+                got["words"].append(_unpack(w, WORDS))
+                got["pairs"].append(_unpack(p, PAIRS))
                 got["word_counts"].append(np.frombuffer(wc, "<u4"))
                 got["pair_counts"].append(np.frombuffer(pc, "<u4"))
-        if part < 0:
-            return
         sizes = {c: np.cumsum([len(x) for x in got[c]]) for c in ("words", "pairs")}
         words, wc, w_at = _summed(got.pop("words"), got.pop("word_counts"))
         pairs, pc, p_at = _summed(got.pop("pairs"), got.pop("pair_counts"))
-        made = segment((_key(words, bits), wc), (pairs, pc), probes, load)
+        made = segment((words, wc), (pairs, pc), probes, load)
         f = LogFrequencyFilter(bits, np.frombuffer(made or b"\0", np.uint8), np.zeros(1 << bits, np.uint64), np.full(1 << bits, len(made) * 8, np.uint64), probes)
         here = np.full(max(len(words), len(pairs)), part)
-        wl = f.levels(here[: len(words)], _key(words, bits), WORDS).astype(np.uint8)
+        wl = f.levels(here[: len(words)], words, WORDS).astype(np.uint8)
         known = wc > 0
-        end = wc[words == _END]
+        end = wc[words == _key(np.array([_END]), bits, WORDS)] if part == _parts(np.array([_END]), bits)[0] else wc[:0]
         totals = {"part": part, "n": int(wc.sum()), "v": int(known.sum()), "docs": int(end[0]) if len(end) else 0, "mass": float(LEVEL_COUNT[wl[known]].sum()), "filter_bytes": len(made)}
         if keep_segment:
-            yield _record(_ANSWER, [totals | {"segment": made, "words": words[known].astype("<u8").tobytes(), "word_counts": wc[known].astype("<u8").tobytes()}])
+            yield _record(_ANSWER, [totals | {"segment": made, "words": ((words[known] << np.uint64(64 - 8 * _KEY_BYTES[WORDS])) >> np.uint64(bits) | np.uint64(part << (64 - bits))).astype("<u8").tobytes(), "word_counts": wc[known].astype("<u8").tobytes()}])
             return
         yield _record(_ANSWER, [totals])
         pl = f.levels(here[: len(pairs)], pairs, PAIRS).astype(np.uint8)
@@ -314,6 +321,18 @@ def _scores(lot: pa.Table, t: Totals, find: Callable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(plain.column(c).combine_chunks() for c in ("id", "held_out")), *map(pa.array, columns)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _repeatable(rows: DataFrame) -> bool:
+    """Whether a plan gives the same partitions in the same order each time: it only reads files, row by row."""
+    todo = [rows._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        children = plan.children()
+        if plan.nodeName().split(" ")[0] not in ("Project", "Filter", "LogicalRelation", "Relation", "LocalRelation") and not plan.nodeName().startswith(("Relation", "Scan")):
+            return False
+        todo += [children.apply(k) for k in range(children.size())]
+    return True
+
+
 def scored(
     docs: DataFrame, held_out: tuple[int, int] = (10, 0), id_col: str = "doc_id", text_col: str = "text",
     broadcast_bytes: int = BROADCAST_BYTES, part_bytes: int = PART_BYTES, probes: int = PROBES, load: float = LOAD,
@@ -329,12 +348,13 @@ def scored(
     spark = docs.sparkSession
     out_of = F.coalesce(fold(id_col, held_out[0]) == held_out[1], F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), out_of.alias("held_out"), utf8(text_col).alias("data"))
+    rows = (rows if _repeatable(rows) else materialise(rows, "lm-texts")).withColumn("at", F.spark_partition_id())
     kind = rows.schema["id"].dataType.simpleString()
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes")).first()
     bits = max(1, (size.bytes // part_bytes).bit_length())
     # a text of b bytes has b / 2 + 1 tokens at most; a token adds 1.5 levels to a word and to a pair, and a word count
     small = (size.bytes / 2 + size.n) * (2 * 1.5 * probes / load / 8 + 16) <= broadcast_bytes
-    messages = rows.mapInArrow(_ask(bits, not small), _MESSAGE)
+    messages = rows.mapInArrow(_ask(bits), _MESSAGE)
     table = materialise(messages.groupBy("part").applyInArrow(_answer(bits, small, probes, load), _ANSWER), "lm-answers")
     sums = table.filter("n is not null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "docs", "mass"))).first()
     t = Totals(int(sums.n), int(sums.v), int(sums.docs), float(sums.mass))
@@ -342,15 +362,16 @@ def scored(
     if small:
         found = table.filter("segment is not null").select("part", "segment", "words", "word_counts").collect()
         words, counts = (np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[c], "<u8") for r in found)]) for c in ("words", "word_counts"))
-        order = np.argsort(words)
+        order, drop = np.argsort(words), np.uint64(max(0, 64 - bits - 8 * _KEY_BYTES[WORDS]))
         shared = spark.sparkContext.broadcast((LogFrequencyFilter.of(bits, {r.part: bytes(r.segment) for r in found}, probes), words[order], counts[order].astype(np.int64)))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, known, count = shared.value
 
             def find(words: np.ndarray, pairs: np.ndarray):
-                at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-                exact = np.where(known[at] == words, count[at], 0) if len(known) else np.zeros(len(words), np.int64)
+                kept = words >> drop << drop  # as many bits as segments keep
+                at = np.minimum(np.searchsorted(known, kept), max(0, len(known) - 1))
+                exact = np.where(known[at] == kept, count[at], 0) if len(known) else np.zeros(len(words), np.int64)
                 return model.levels_of(words, WORDS), exact, model.levels_of(pairs, PAIRS)
 
             for lot in _lots(batches):
@@ -360,11 +381,11 @@ def scored(
     else:
 
         def score_lot(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state, answers = _EMPTY, []
+            texts, answers = None, []
             for b in batches:
                 for r in b.to_pylist():
-                    if r["part"] < 0:
-                        state = r["state"]
+                    if r["texts"] is not None:
+                        texts = r["texts"]
                     else:
                         answers.append((r["part"], r["word_levels"], r["word_counts"], r["pair_levels"]))
             answers.sort()
@@ -376,9 +397,10 @@ def scored(
                     raise RuntimeError(f"{len(wl)} and {len(pl)} answers for {len(words)} words and {len(pairs)} pairs of a lot")
                 return wl, c.astype(np.int64), pl
 
-            with pa.ipc.open_stream(state) as s:
+            with pa.ipc.open_stream(texts) as s:
                 yield _scores(s.read_all(), t, find)
 
-        asked = table.filter("lot is not null").select("lot", "part", "word_levels", "word_counts", "pair_levels", "state")
-        got = asked.groupBy("lot").applyInArrow(score_lot, result)
+        asked = table.filter("lot is not null").select("lot", "part", "word_levels", "word_counts", "pair_levels")
+        packed = rows.mapInArrow(_texts, _TEXTS)
+        got = asked.unionByName(packed, allowMissingColumns=True).groupBy("lot").applyInArrow(score_lot, result)
     return got.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(t.n).cast("long").alias("train_tokens"), "base_score", "score")

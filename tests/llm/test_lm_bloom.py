@@ -118,7 +118,7 @@ def test_filter_gives_levels_back():
     hashes = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
     count = np.minimum(rng.zipf(1.5, len(hashes)), 10**6)
     parts = M._parts(hashes, 2)
-    made = {p: M.segment((M._key(hashes[parts == p], 2), count[parts == p]), (M._key(hashes[parts == p], 2), count[parts == p])) for p in range(4)}
+    made = {p: M.segment(*((M._key(hashes[parts == p], 2, kind), count[parts == p]) for kind in (M.WORDS, M.PAIRS))) for p in range(4)}
     f = M.LogFrequencyFilter.of(2, made)
     for kind in (M.WORDS, M.PAIRS):
         got = f.levels_of(hashes, kind)
