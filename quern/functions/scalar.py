@@ -165,15 +165,37 @@ def binary(op: str, a: Typed, b: Typed) -> Typed:
     if a.type not in ("int", "uint", "other"):
         raise ExpressionError(f"{op} doesn't take {a.type}")
     if op == "-" and a.type == "uint":
-        return Typed(F.when(a.column >= b.column, a.column - b.column).otherwise(F.raise_error(F.lit("unsigned subtraction below zero")).cast("long")), "uint")
+        known = _constant(op, a, b)
+        return Typed(F.when(a.column >= b.column, a.column - b.column).otherwise(F.raise_error(F.lit("unsigned subtraction below zero")).cast("long")), "uint", known)
+    known = _constant(op, a, b)
     if op == "/":
-        return Typed(a.column / b.column if a.type == "other" else _div(a.column, b.column), a.type)
-    return Typed({"+": a.column + b.column, "-": a.column - b.column, "*": a.column * b.column}[op], a.type)
+        return Typed(a.column / b.column if a.type == "other" else _div(a.column, b.column), a.type, known)
+    return Typed({"+": a.column + b.column, "-": a.column - b.column, "*": a.column * b.column}[op], a.type, known)
+
+
+#: The range of each whole-number type.
+RANGES = {"int": (-(1 << 63), (1 << 63) - 1), "uint": (0, (1 << 64) - 1)}
+
+
+def _constant(op: str, a: Typed, b: Typed) -> int | None:
+    """The value of whole-number arithmetic on constants, worked out while planning; outside the type's range, and
+    divided by zero, it is an error at once."""
+    x, y = a.constant, b.constant
+    if a.type not in RANGES or not isinstance(x, int) or not isinstance(y, int):
+        return None
+    if op == "/" and not y:
+        raise ExpressionError("division by zero")
+    value = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: abs(x) // abs(y) * (1 if (x < 0) == (y < 0) else -1)}[op]()
+    low, high = RANGES[a.type]
+    if not low <= value <= high:
+        raise ExpressionError(f"{x} {op} {y} is no {a.type}")
+    return value
 
 
 def _div(a: Column, b: Column) -> Column:
-    """Integer division toward zero; an error by zero."""
-    return ((a - a % b) / b).cast("long")
+    """Integer division toward zero, exact for all longs; an error by zero."""
+    by = F.when(b == 0, F.raise_error(F.lit("DIVIDE_BY_ZERO")).cast("long")).otherwise(b)
+    return F.call_function("div", a, by)
 
 
 def unary(op: str, x: Typed) -> Typed:

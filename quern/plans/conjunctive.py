@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.ir import Atom, Catalog, Lit, Query, Var
+from quern.plans.ir import Any, Atom, Catalog, Lit, Query, Var
 
 
 def _column(df: DataFrame, k: int):
     return F.col(f"`{df.columns[k]}`")
 
 
-def bind(atom: Atom, df: DataFrame, needed: set[str]) -> DataFrame:
-    """One atom's matches: constants and repeated variables filter, needed variables become columns `v_<name>`."""
+def bind(atom: Atom, df: DataFrame, needed: set[str], distinct: bool = False) -> DataFrame:
+    """One atom's matches: constants and repeated variables filter, needed variables become columns `v_<name>`. With
+    `distinct`, rows that become equal because columns go are one, else they would multiply in every later join."""
     first: dict[str, int] = {}
     for k, t in enumerate(atom.terms):
         if isinstance(t, Lit):
@@ -22,12 +25,21 @@ def bind(atom: Atom, df: DataFrame, needed: set[str]) -> DataFrame:
             if t.name in first:
                 df = df.filter(_column(df, k) == _column(df, first[t.name]))
             first.setdefault(t.name, k)
-    return df.select(*(_column(df, k).alias(f"v_{v}") for v, k in first.items() if v in needed))
+    out = df.select(*(_column(df, k).alias(f"v_{v}") for v, k in first.items() if v in needed))
+    fewer = any(isinstance(t, Any) for t in atom.terms) or first.keys() - needed
+    return out.distinct() if distinct and fewer and out.columns else out
+
+
+def size_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a relation's bytes, from its files and filters; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def join_order(body: tuple[Atom, ...]) -> list[int]:
-    """Most selective first (constants, then few variables), then always an atom that shares a variable if one does."""
-    rank = lambda k: (-sum(isinstance(t, Lit) for t in body[k].terms), len(body[k].variables()), k)
+def join_order(body: tuple[Atom, ...], sizes: Mapping[str, int] | None = None) -> list[int]:
+    """Most selective first (constants, then small relations, then few variables), then always an atom that shares a
+    variable if one does: the one that shares most, of these the smallest."""
+    size = sizes or {}
+    rank = lambda k: (-sum(isinstance(t, Lit) for t in body[k].terms), size.get(body[k].relation, 0), len(body[k].variables()), k)
     left, bound, order = set(range(len(body))), set(), []
     while left:
         linked = [k for k in left if body[k].variables() & bound]
@@ -44,7 +56,7 @@ def evaluate(query: Query, catalog: Catalog, names: list[str] | None = None) ->
     Variables that nothing further on asks for are dropped at once; an atom that then adds no column is a semi-join,
     and one without variables is a gate on whether it matches at all. Catalyst picks the physical joins."""
     query.check(catalog.arity())
-    order = join_order(query.body)
+    order = join_order(query.body, {a.relation: size_of(catalog.relation(a.relation)) for a in query.body} if len(query.body) > 1 else None)
     wanted = {t.name for t in query.head if isinstance(t, Var)}
     out: DataFrame | None = None
     gates: list[DataFrame] = []
@@ -52,7 +64,10 @@ def evaluate(query: Query, catalog: Catalog, names: list[str] | None = None) ->
         atom = query.body[k]
         others = [query.body[j] for j in order if j != k]
         later = wanted | set().union(*(query.body[j].variables() for j in order[place + 1 :]), set())
-        matches = bind(atom, catalog.relation(atom.relation), wanted | set().union(*(a.variables() for a in others), set()))
+        needed = wanted | set().union(*(a.variables() for a in others), set())
+        bound = set().union(*(query.body[j].variables() for j in order[:place]), set())
+        adds = (atom.variables() & needed) - bound
+        matches = bind(atom, catalog.relation(atom.relation), needed, distinct=bool(adds) and place < len(order) - 1)
         if not matches.columns:
             source = bind_rows(atom, catalog.relation(atom.relation))
             gates.append(source.limit(1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from quern.plans.ir import RESERVED, Atom, Catalog, Lit, Program, ProgramError,
 from quern.sources.scratch import written
 
 
+#: Names of relations that `doubled` adds begin so.
+CLOSURE = "closure_of_"
+
+
 @dataclass
 class Fixpoint:
     """Derived relations, and the facts that were new in each round (the last round of each relation finds none)."""
@@ -21,20 +26,40 @@ class Fixpoint:
     new_facts: list[dict[str, int]] = field(default_factory=list)
 
 
-def doubled(program: Program) -> Program:
-    """Rewrite right- or left-linear transitive closure, p(x,z) :- p(x,y), e(y,z) beside p(x,y) :- e(x,y), as
-    p(x,z) :- p(x,y), p(y,z): the same facts in a logarithm of the rounds. Other rules stay as they are."""
-    rules = []
+def doubled(program: Program, seeded: Collection[str] | None = None) -> Program:
+    """Rewrite linear transitive closure, p(x,z) :- p(x,y), e(y,z) or p(x,z) :- e(x,y), p(y,z) beside p(x,y) :- e(x,y),
+    so that it takes a logarithm of the rounds. The same facts follow.
+
+    Where these two rules are all that p has, and it has no seeds, p is its own closure: p(x,z) :- p(x,y), p(y,z).
+    Else p's facts need not be paths of e, so the closure of e becomes a relation of its own that the rule joins with.
+    `seeded` names the relations with seeds; if it is None any may have some. Other rules stay as they are."""
+    rules, closed = [], set()
     for r in program.rules:
-        base = {q.body[0].relation for q in program.rules if q.relation == r.relation and len(q.body) == 1 and q.head == q.body[0].terms and len(set(q.head)) == 2}
-        if len(r.body) == 2 and len(r.head) == 2 and {a.relation for a in r.body} - {r.relation} <= base and r.relation in {a.relation for a in r.body}:
+        base = {q.body[0].relation for q in program.rules if q.relation == r.relation and len(q.body) == 1 and q.head == q.body[0].terms and len(set(q.head)) == 2 and all(isinstance(t, Var) for t in q.head)}
+        edges = {a.relation for a in r.body} - {r.relation}
+        if len(r.body) == 2 and len(edges) == 1 and edges <= base and _chains(r):
+            (e,) = edges
             a, b = r.body
-            if all(isinstance(t, Var) for x in (*r.body, r) for t in (x.terms if isinstance(x, Atom) else x.head)) and len(a.terms) == len(b.terms) == 2 and a.terms[1] == b.terms[0] and r.head == (a.terms[0], b.terms[1]) and len({*a.terms, *b.terms}) == 3:
+            if seeded is not None and r.relation not in seeded and sum(q.relation == r.relation for q in program.rules) == 2:
                 r = Rule(r.relation, r.head, (Atom(r.relation, a.terms), Atom(r.relation, b.terms)))
+            else:
+                closed.add(e)
+                r = Rule(r.relation, r.head, tuple(replace(x, relation=CLOSURE + e) if x.relation == e else x for x in r.body))
         rules.append(r)
+    x, y, z = Var("x"), Var("y"), Var("z")
+    for e in sorted(closed):
+        c = CLOSURE + e
+        rules += [Rule(c, (x, y), (Atom(e, (x, y)),)), Rule(c, (x, z), (Atom(c, (x, y)), Atom(c, (y, z))))]
     return Program(tuple(rules))
 
 
+def _chains(r: Rule) -> bool:
+    """Whether a rule's two atoms form a path from the first to the last variable of its head."""
+    a, b = r.body
+    terms = (*r.head, *a.terms, *b.terms)
+    return len(r.head) == len(a.terms) == len(b.terms) == 2 and all(isinstance(t, Var) for t in terms) and a.terms[1] == b.terms[0] and r.head == (a.terms[0], b.terms[1]) and len({*a.terms, *b.terms}) == 3
+
+
 def _head_names(program: Program, seeds: dict[str, DataFrame]) -> dict[str, list[str]]:
     names = {k: list(v.columns) for k, v in seeds.items()}
     for r in program.rules:
@@ -46,15 +71,20 @@ def _head_names(program: Program, seeds: dict[str, DataFrame]) -> dict[str, list
 
 def evaluate(
     spark: SparkSession, program: Program, facts: Catalog, seeds: dict[str, DataFrame] | None = None,
-    semi_naive: bool = True, max_rounds: int = 1000,
+    semi_naive: bool = True, max_rounds: int = 1000, double: bool = False,
 ) -> Fixpoint:
     """All facts that follow from `facts` and the derived relations' `seeds`.
 
     A round is one plan per relation: the union of its rules, minus what is known. Semi-naive rounds join each rule's
     derived atoms, one at a time, with what the last round found. New facts are written to the shared folder, which
     cuts the plan and outlives lost executors; as rounds don't overlap, a relation is the union of its files and is
-    never rewritten or counted anew. `max_rounds` guards programs that invent values for ever."""
+    never rewritten or counted anew. Null is a value here: a fact that holds nulls is known once it was found, though a
+    null joins nothing. `double` rewrites linear closures (see `doubled`). `max_rounds` guards programs that invent
+    values for ever."""
     seeds = seeds or {}
+    asked = program.derived()
+    if double:
+        program = doubled(program, seeds)
     program.check({k: len(v.columns) for k, v in {**facts, **seeds}.items()})
     derived, names = program.derived(), _head_names(program, seeds)
     if clash := [d for d in derived if d in facts]:
@@ -108,7 +138,7 @@ def evaluate(
                 rows = rows.select(*(F.col(f"`{c}`").cast(f.dataType).alias(c) for c, f in zip(rows.columns, schema[d], strict=True)))
             if d in total:
                 old = total[d].select(*(F.col(f"`{c}`").alias(f"old_{k}") for k, c in enumerate(total[d].columns)))
-                rows = rows.join(old, [F.col(f"`{c}`") == F.col(f"old_{k}") for k, c in enumerate(rows.columns)], "left_anti")
+                rows = rows.join(old, [F.col(f"`{c}`").eqNullSafe(F.col(f"old_{k}")) for k, c in enumerate(rows.columns)], "left_anti")
             path, rows = written(rows.distinct(), "round")
             schema.setdefault(d, rows.schema)
             if count_ := rows.count():
@@ -125,7 +155,7 @@ def evaluate(
         if d not in schema:  # no rule ever matched a type: the relation is empty
             raise ProgramError(f"nothing gives {d} its types: all its rules read relations without facts or types")
     empty = {d: spark.createDataFrame([], schema[d]) for d in derived if not files[d]}
-    return Fixpoint(Catalog({d: empty[d] if d in empty else known(d) for d in derived}), len(stats), stats)
+    return Fixpoint(Catalog({d: empty[d] if d in empty else known(d) for d in asked}), len(stats), stats)
 
 
 __all__ = ["Fixpoint", "doubled", "evaluate", "Lit"]

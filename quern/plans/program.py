@@ -34,6 +34,14 @@ class Project:
     attributes: tuple[tuple[str, object], ...]
 
 
+@dataclass(frozen=True)
+class Pick:
+    """Columns (new name, name) in a new order and under new names: only the schema changes."""
+
+    relation: object
+    columns: tuple[tuple[str, str], ...]
+
+
 @dataclass(frozen=True)
 class Select:
     relation: object
@@ -100,7 +108,7 @@ class Iterate:
     max_rounds: int = 1000
 
 
-RELATIONAL = (Source, Alias, Project, Select, EquiJoin, Product, ThetaJoin, AntiJoin, Union, Difference, Distinct, Iterate)
+RELATIONAL = (Source, Alias, Project, Pick, Select, EquiJoin, Product, ThetaJoin, AntiJoin, Union, Difference, Distinct, Iterate)
 
 
 def _mapping(pairs: tuple[tuple[str, object], ...] | None) -> Mapping[str, object] | None:
@@ -156,6 +164,8 @@ class Planner:
                 return go(r).aliased(alias)
             case Project(r, attributes):
                 return go(r).project(dict(attributes), scope)
+            case Pick(r, columns):
+                return go(r).pick(dict(columns))
             case Select(r, condition):
                 return go(r).select(condition, scope)
             case EquiJoin(a, b, on, attributes):
@@ -228,4 +238,4 @@ def _linear(e: object, name: str) -> bool:
     return all(_linear(x, name) for x in (vars(e).values() if isinstance(e, RELATIONAL) else ()) if isinstance(x, RELATIONAL))
 
 
-__all__ = ["W", "Planner", "PlanError", "Source", "Alias", "Project", "Select", "EquiJoin", "Product", "ThetaJoin", "AntiJoin", "Union", "Difference", "Distinct", "Iterate"]
+__all__ = ["W", "Planner", "PlanError", "Source", "Alias", "Project", "Pick", "Select", "EquiJoin", "Product", "ThetaJoin", "AntiJoin", "Union", "Difference", "Distinct", "Iterate"]

@@ -6,26 +6,13 @@ import random
 import pytest
 
 from quern.plans import conjunctive, fixpoint, hypercube, ir
+from quern.plans.reference import brute_force as brute
 
 
 def frame(spark, rows, arity):
     return spark.createDataFrame(rows, ", ".join(f"c{k} long" for k in range(arity)))
 
 
-def matches(atom, rows, binding):
-    for row in rows:
-        b = dict(binding)
-        if all(isinstance(t, ir.Any) or (t.value == v if isinstance(t, ir.Lit) else b.setdefault(t.name, v) == v) for t, v in zip(atom.terms, row, strict=True)):
-            yield b
-
-
-def brute(q, tables):
-    found = [{}]
-    for a in q.body:
-        found = [b for f in found for b in matches(a, tables[a.relation], f)]
-    return {tuple(b[t.name] if isinstance(t, ir.Var) else t.value for t in q.head) for b in found}
-
-
 def brute_fixpoint(program, tables):
     known = {k: set(v) for k, v in tables.items()}
     for d in program.derived():
@@ -127,7 +114,7 @@ def test_rounds_and_new_facts(spark):
     chain = ir.Catalog(parent=frame(spark, [(k, k + 1) for k in range(5)], 2))
     got = fixpoint.evaluate(spark, ir.program(CLOSURE), chain)
     assert [r["anc"] for r in got.new_facts] == [5, 4, 3, 2, 1, 0] and got.rounds == 6 and got.relations["anc"].count() == 15
-    fast = fixpoint.evaluate(spark, fixpoint.doubled(ir.program(CLOSURE)), chain)
+    fast = fixpoint.evaluate(spark, ir.program(CLOSURE), chain, double=True)
     assert fast.rounds < 6 and fast.relations["anc"].count() == 15
     ring = fixpoint.evaluate(spark, ir.program(CLOSURE), ir.Catalog(parent=frame(spark, [(1, 2), (2, 3), (3, 1)], 2)))
     assert [r["anc"] for r in ring.new_facts] == [3, 3, 3, 0]
@@ -142,6 +129,63 @@ def test_seeds_and_mutual_recursion(spark):
     assert {r[0] for r in both["even"].collect()} == {0, 2, 4} and {r[0] for r in both["odd"].collect()} == {1, 3}
 
 
+def test_doubling_derives_no_false_facts(spark):
+    """With a second rule for its start, or with seeds, a closure's facts are not edges."""
+    facts = {"e": [(1, 2), (2, 3), (3, 4), (12, 13)], "f": [(10, 11), (11, 12)]}
+    cat = ir.Catalog({k: frame(spark, v, 2) for k, v in facts.items()})
+    for first in ("p(x, y) :- f(x, y).\n", ""):
+        for chain in ("p(x, z) :- p(x, y), e(y, z).", "p(x, z) :- e(x, y), p(y, z)."):
+            program = ir.program(f"p(x, y) :- e(x, y).\n{first}{chain}")
+            for seeds in ([], [(7, 8), (8, 9), (9, 1)]):
+                seeded = ir.Program((*program.rules, ir.rule("p(x, y) :- s(x, y)")))
+                want = brute_fixpoint(seeded, facts | {"s": seeds})["p"]
+                given = {"p": frame(spark, seeds, 2)} if seeds else None
+                for rules, double in ((program, True), (fixpoint.doubled(program), False)):
+                    got = fixpoint.evaluate(spark, rules, cat, given, double=double).relations["p"]
+                    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_nulls_end_and_join_nothing(spark):
+    edges = [(None, 1), (1, 2), (2, 1), (3, None)]
+    got = fixpoint.evaluate(spark, ir.program(CLOSURE), ir.Catalog(parent=frame(spark, edges, 2)), max_rounds=12).relations["anc"]
+    assert {tuple(r) for r in got.collect()} == {(None, 1), (None, 2), (1, 2), (2, 1), (1, 1), (2, 2), (3, None)}
+    tables = {"r": [(0, 5), (None, 5), (1, None), (2, 6)], "s": [(5, 7), (None, 8), (6, None), (6, 9)]}
+    cat = ir.Catalog({k: frame(spark, v, 2) for k, v in tables.items()})
+    for text in ("q(x, y, z) :- r(x, y), s(y, z)", "q(x, z) :- r(x, y), s(y, z)", "q(x) :- r(x, _)", "q(x, y) :- r(x, y)"):
+        q = ir.query(text)
+        names = [f"h{k}" for k in range(len(q.head))]
+        want = brute(q, tables)
+        assert {tuple(r) for r in conjunctive.evaluate(q, cat, names).collect()} == want
+        assert {tuple(r) for r in hypercube.evaluate(q, cat, names, cells=8).collect()} == want
+
+
+def test_the_cube_needs_no_package_on_workers():
+    """What is sent to the workers names no module of this package."""
+    import pickletools
+
+    from pyspark import cloudpickle
+
+    sent = cloudpickle.dumps(hypercube.local_join)
+    modules = {arg for op, arg, _ in pickletools.genops(sent) if isinstance(arg, str)}
+    assert not any(m.split()[0] == "quern.plans.hypercube" and " " in m for m in modules)
+    assert b"solve" in sent  # the code itself
+
+
+def test_repeated_keys_do_not_multiply(spark):
+    """An atom that drops columns holds each key once before it is joined on."""
+    line = spark.range(1000).selectExpr("id % 2 as k", "id as n")
+    cat = ir.Catalog(a=line, b=line, c=spark.range(2).selectExpr("id as k", "id as v"))
+    plan = conjunctive.evaluate(ir.query("q(x, y, v) :- a(x, _), c(x, v), b(y, _), c(y, v)"), cat)
+    assert {tuple(r) for r in plan.collect()} == {(0, 0, 0), (1, 1, 1)}
+    joined = conjunctive.bind(ir.query("q(x) :- a(x, _)").body[0], line, {"x"}, distinct=True)
+    assert joined.count() == 2
+
+
+def test_small_relations_come_first():
+    body = ir.query("q(a, c) :- big(a, b), small(b, c)").body
+    assert conjunctive.join_order(body, {"big": 10**9, "small": 10}) == [1, 0]
+
+
 def test_join_order_is_connected():
     body = ir.query("q(a, d) :- r(a, b), s(c, d), t(b, c)").body
     order = conjunctive.join_order(body)
