@@ -62,6 +62,12 @@ class ZSet:
         got = {n: self.compile(e, scope) for n, e in attributes.items()}
         return self._with(self.df.select(*(t.column.alias(n) for n, t in got.items()), F.col(W)), frozenset(n for n, t in got.items() if t.type == "uint"))
 
+    def pick(self, columns: Mapping[str, str]) -> ZSet:
+        """Columns under new names and in a new order, as they are."""
+        if gone := [c for c in columns.values() if c not in self.columns]:
+            raise ExpressionError(f"no columns {gone}")
+        return self._with(self.df.select(*(F.col(f"`{c}`").alias(n) for n, c in columns.items()), F.col(W)), frozenset(n for n, c in columns.items() if c in self.unsigned))
+
     def select(self, condition: object, scope: Scope | None = None) -> ZSet:
         return self._with(self.df.filter(truthy(self.compile(condition, scope))))
 

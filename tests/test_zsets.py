@@ -4,8 +4,8 @@ import pytest
 
 from quern.functions.scalar import At, Binary, Block, Call, Const, ExpressionError, Fn, Let, Ref, Tup, Unary, compile_expression, constant
 from quern.operators.zset import W, ZSet
-from quern.plans.program import Alias, AntiJoin, Difference, Distinct, EquiJoin, Iterate, Planner, PlanError, Project, Select, Source, ThetaJoin, Union
-from quern.queries import REGISTER_HISTORY, register_program
+from quern.plans.program import Alias, AntiJoin, Difference, Distinct, EquiJoin, Iterate, Pick, Planner, PlanError, Project, Select, Source, ThetaJoin, Union
+from quern.queries import visible_program
 from quern.streaming.incremental import Circuit, CircuitError, StepTransaction
 
 
@@ -118,13 +118,121 @@ def test_circuit_deltas_equal_recomputation(spark):
         c.step({"gone": draw()})
 
 
-def test_register_hides_what_is_not_ready(spark):
-    pred, ops = "from_rep long, from_ctr long, to_rep long, to_ctr long", "rep long, ctr long, key long, value long"
-    c = Circuit(spark, register_program(), {"pred": pred, "ops": ops})
-    p, o = REGISTER_HISTORY[0]
-    assert rows_of(c.step({"pred": Z(spark, pred, p), "ops": Z(spark, ops, o)})) == {(1, 1): 1}
-    p, o = REGISTER_HISTORY[1]
-    assert rows_of(c.step({"pred": Z(spark, pred, p), "ops": Z(spark, ops, o)})) == {(1, 1): -1, (1, 2): 1, (1, 3): 1}
+def test_what_comes_early_waits(spark):
+    said, after = "conv long, turn long", "conv long, prev long, turn long"
+    c = Circuit(spark, visible_program(), {"said": said, "after": after})
+    assert rows_of(c.step({"said": Z(spark, said, [(1, 0), (1, 2)]), "after": Z(spark, after, [(1, 1, 2)])})) == {(1, 0): 1}
+    assert rows_of(c.step({"said": Z(spark, said, [(1, 1)]), "after": Z(spark, after, [(1, 0, 1)])})) == {(1, 0): -1, (1, 2): 1}
+    assert rows_of(c.step({"said": Z(spark, said, [(1, 1)], [-1]), "after": Z(spark, after, [(1, 0, 1)], [-1])})) == {(1, 0): 1, (1, 2): -1}
+
+
+def test_nested_operators_keep_their_state(spark):
+    import random
+
+    rng = random.Random(9)
+    e, f, key = Source("e"), Source("f"), ((Ref("y"), Ref("x")),)
+    join = EquiJoin(Alias(e, "a"), Alias(f, "b"), key, (("x", Ref("a.x")), ("y", Ref("b.y"))))
+    path = EquiJoin(Alias(Ref("p"), "a"), Alias(Source("e"), "b"), key, (("x", Ref("a.x")), ("y", Ref("b.y"))))
+    programs = [
+        EquiJoin(Alias(Distinct(join), "j"), Alias(e, "c"), key, (("x", Ref("j.x")), ("z", Ref("c.y")))),
+        Distinct(AntiJoin(Distinct(join), f, key)),
+        AntiJoin(AntiJoin(e, Distinct(Project(f, (("x", Ref("x")),))), ((Ref("x"), Ref("x")),)), join, key),
+        Union((Distinct(e), Pick(f, (("x", "y"), ("y", "x"))))),
+        Iterate("p", e, path),
+        Iterate("p", AntiJoin(e, f, key), path),
+        AntiJoin(Iterate("p", e, path), f, key),
+        Iterate("p", e, Union((path, Distinct(path)))),
+    ]
+    rows = [(rng.randrange(5), rng.randrange(5)) for _ in range(14)]
+    step = lambda rs, w: Z(spark, "x long, y long", rs, [w] * len(rs))
+    changes = [{"e": step(rows[:8], 1), "f": step(rows[8:], 1)}, {"e": step(rows[:3], -1)}, {"e": step([rows[0], (4, 0)], 1), "f": step(rows[9:11], -1)}]
+    c = Circuit(spark, tuple(programs), {"e": "x long, y long", "f": "x long, y long"})
+    totals = [{} for _ in programs]
+    for change in changes:
+        for total, d in zip(totals, c.step(change), strict=True):
+            for row, w in rows_of(d).items():
+                total[row] = total.get(row, 0) + w
+        for p, total, want in zip(programs, totals, c.value(), strict=True):
+            assert {r: w for r, w in total.items() if w} == rows_of(want), p
+
+
+def test_a_step_reads_and_writes_what_it_changes(spark, monkeypatch):
+    """Rows written by a small step, and rows read from traces, don't grow with what is there already."""
+    from quern.streaming import incremental as I
+
+    program = Distinct(EquiJoin(Alias(Distinct(Source("e")), "a"), Alias(Source("f"), "b"), ((Ref("y"), Ref("x")),), (("x", Ref("a.x")), ("z", Ref("b.y")))))
+    work = []
+    for n in (200, 5000):
+        c = Circuit(spark, program, {"e": "x long, y long", "f": "x long, y long"})
+        big = ZSet.of(spark.range(n).selectExpr("id as x", "id + 1 as y"))
+        c.step({"e": big, "f": big})
+        seen = []
+        read, append = I.Trace.read, I.Trace.appended
+        monkeypatch.setattr(I.Trace, "read", lambda self, touched=None: (lambda z: (seen.append(z.df.count() if touched is not None else 0), z)[1])(read(self, touched)))
+        monkeypatch.setattr(I.Trace, "appended", lambda self, d: (lambda t: (seen.append(t.batches[-1][1] if len(t.batches) > len(self.batches) else 0), t)[1])(append(self, d)))
+        c.step({"e": Z(spark, "x long, y long", [(n + 7, 3)])})
+        monkeypatch.setattr(I.Trace, "read", read)
+        monkeypatch.setattr(I.Trace, "appended", append)
+        work.append(sum(seen))
+    assert work[0] < 40 and work[1] < 40 + 4 * 5000 / 64 * 2  # a bucket or two of each trace
+
+
+def test_a_failed_write_counts_once(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    c = Circuit(spark, Distinct(Source("e")), {"e": "x long"}, state_dir=state)
+    got, broken = [], [True]
+
+    def write(df, number):
+        if broken.pop() if broken else False:
+            raise OSError("no")
+        got.append((number, sorted(tuple(r) for r in df.collect())))
+
+    sink, rows = c.sink("e", write), spark.range(2).selectExpr("id as x")
+    with pytest.raises(OSError):
+        sink(rows, 0)
+    sink(rows, 0), sink(rows, 0)
+    assert got == [(0, [(0, 1), (1, 1)])] and c.steps == 1
+    # the driver starts again from what was written: the batch is known, and so are its rows
+    again = Circuit(spark, Distinct(Source("e")), {"e": "x long"}, state_dir=state)
+    sink = again.sink("e", write)
+    sink(rows, 0), sink(spark.range(3).selectExpr("id as x"), 1)
+    assert got[1:] == [(1, [(2, 1)])] and rows_of(again.value()) == {(0,): 1, (1,): 1, (2,): 1}
+
+
+def test_dataflow_primitives(spark):
+    from quern.streaming import dataflow as D
+
+    batch = lambda n: Z(spark, "x long", [(k,) for k in range(n)])
+    looked = []
+    batches = [z for _, z in zip(range(3), D.inspect(D.generator(batch), lambda n, z: looked.append(n)), strict=False)]
+    assert looked == [0, 1, 2]
+    total, late, change = D.Integrate(spark), D.Delay(spark), D.Differentiate(spark)
+    assert [rows_of(total(b)) for b in batches][2] == {(0,): 2, (1,): 1}
+    assert [rows_of(late(b)) for b in batches] == [{}, {}, {(0,): 1}]
+    assert [rows_of(change(b)) for b in batches][2] == {(1,): 1}
+    grown = D.feedback(spark, lambda new, old: new.union(old).distinct())
+    assert [rows_of(grown(b)) for b in batches][2] == {(0,): 1, (1,): 1}
+    assert rows_of(D.until(D.generator(batch), lambda z: len(rows_of(z)) == 2)) == {(0,): 1, (1,): 1}
+    with pytest.raises(RuntimeError):
+        D.until(D.generator(batch), lambda z: False, 2)
+
+
+@pytest.mark.parametrize("a, b, want", [(9007199254740993, 1, 9007199254740993), (2**63 - 1, 2, 2**62 - 1), (-7, 2, -3), (7, -2, -3), (-(2**63) + 1, 3, -3074457345618258602)])
+def test_division_is_exact(spark, a, b, want):
+    assert value(spark, Binary("/", Const(a), Const(b))) == want
+    got = compile_expression(Binary("/", Ref("a"), Ref("b")), {"a": compile_expression(Const(a), {}), "b": compile_expression(Const(b), {})})
+    assert got.constant == want
+    df = spark.createDataFrame([(a, b)], "a long, b long")
+    assert ZSet.of(df).project({"q": Binary("/", Ref("a"), Ref("b"))}).df.first().q == want
+
+
+def test_constants_are_worked_out_while_planning():
+    items = Tup((Const("p"), Const("q"), Const("r")))
+    index = Binary("+", Const(0, "uint"), Binary("*", Const(1, "uint"), Const(2, "uint")))
+    assert compile_expression(At(items, index), {}).constant == "r"
+    for bad in (Binary("-", Const(0, "uint"), Const(1, "uint")), Binary("/", Const(1), Const(0)), Binary("+", Const(2**63 - 1), Const(1))):
+        with pytest.raises(ExpressionError):
+            compile_expression(bad, {})
 
 
 def test_transactions_and_streams(spark, tmp_path):
