@@ -65,6 +65,18 @@ def bindings(law: Law, tables: Mapping[str, DataFrame]) -> DataFrame:
     return rows.distinct()
 
 
+def _equated(held: DataFrame, base: DataFrame, e: Equal, known: set[str]) -> DataFrame:
+    """The matches of consequents for which an equality holds. A side that only the bindings know is brought in by a
+    join on the other side's value."""
+    outer = [t for t in (e.left, e.right) if isinstance(t, Var) and t.name in known and f"v_{t.name}" not in held.columns]
+    if not outer:
+        return held.filter(_value(e.left).eqNullSafe(_value(e.right)))
+    own = e.right if outer[0] == e.left else e.left
+    values = base.select(F.col(f"`v_{outer[0].name}`").alias("outer")).distinct()
+    joined = held.join(values, _value(own).eqNullSafe(F.col("outer")))
+    return joined.select(*(F.col(f"`{c}`") for c in held.columns), F.col("outer").alias(f"v_{outer[0].name}"))
+
+
 def violations(law: Law, tables: Mapping[str, DataFrame]) -> DataFrame:
     """The bindings of the antecedents for which some consequent does not hold.
 
@@ -95,10 +107,7 @@ def violations(law: Law, tables: Mapping[str, DataFrame]) -> DataFrame:
             found = _matches(a, tables[a.entity])
             held = found if held is None else _join(held, found, "inner")
         for e in (e for e in g if isinstance(e, Equal)):
-            outer = [f"v_{t.name}" for t in (e.left, e.right) if isinstance(t, Var) and t.name in known and f"v_{t.name}" not in held.columns]
-            if outer:
-                held = held.crossJoin(base.select(*outer).distinct())
-            held = held.filter(_value(e.left).eqNullSafe(_value(e.right)))
+            held = _equated(held, base, e, known)
         bad.append(_join(base, held, "left_anti"))
     if not bad:
         return base.limit(0)

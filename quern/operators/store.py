@@ -7,19 +7,21 @@ DataFrames (`add_frame`, COPY); both end up as files in the shared folder.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.identity import Referenced, canonical
 from quern.operators.integrity import RID, key_violations, violations
 from quern.plans.theory import ROW_ID, Entity, Theory
 from quern.sources.scratch import written
-from quern.sources.tables import copy_from, index_seek, seek
+from quern.sources.tables import copy_chunks, copy_from, index_seek, seek
 
 
 class StoreError(ValueError):
@@ -34,6 +36,32 @@ class Rejected(StoreError):
         self.law, self.rows = law, rows
 
 
+def digest(rows: DataFrame) -> list[str]:
+    """What identifies a set of numbered rows, whatever their order: their number and two sums of hashes."""
+    cols = [F.col(f"`{c}`") for c in rows.columns]
+    return [str(x) for x in rows.agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(s), *cols).cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2))).first()]
+
+
+def commit_hash(parents: Iterable[str], digests: Mapping[str, list[str]]) -> str:
+    return hashlib.sha256(json.dumps([list(parents), digests], sort_keys=True).encode()).hexdigest()
+
+
+def numbered(rows: DataFrame, first: int) -> DataFrame:
+    """`rows` with `_n` in front: from `first` on, in the order of their values. Numbers follow from the rows alone, not
+    from how they are spread; rows that are equal may change places. Counts of partitions come to the driver."""
+    cols = [F.col(f"`{c}`") for c in rows.columns]
+    ordered = rows.repartitionByRange(*cols).sortWithinPartitions(*cols) if cols else rows
+    _, placed = written(ordered.select(F.monotonically_increasing_id().alias("_p"), *cols), "numbered")
+    part = F.shiftright("_p", 33)
+    at, offsets = first, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets.append((r.part, at))
+        at += r["count"]
+    starts = rows.sparkSession.createDataFrame(offsets, "part long, start long")
+    joined = placed.join(F.broadcast(starts), part == F.col("part"))
+    return joined.select((F.col("start") + F.col("_p").bitwiseAND(F.lit((1 << 33) - 1))).alias("_n"), *cols)
+
+
 @dataclass(frozen=True)
 class RowId:
     commit: str
@@ -43,6 +71,10 @@ class RowId:
         return (self.commit, self.n)
 
 
+def _id_literal(rid: RowId) -> Column:
+    return F.struct(F.lit(rid.commit).alias("commit"), F.lit(rid.n).cast("long").alias("n"))
+
+
 @dataclass(frozen=True)
 class Handle:
     """A row that a transaction adds; its id is known once the commit is."""
@@ -89,7 +121,7 @@ class Store:
 
     def row(self, table: str, rid: RowId) -> Row | None:
         """The row with an id, or with the id that took its place when equal rows were united."""
-        rows = self._table(table).filter(F.col(RID).eqNullSafe(F.struct(F.lit(rid.commit).alias("commit"), F.lit(rid.n).cast("long").alias("n")))).limit(1).collect()
+        rows = self._table(table).filter(F.col(RID).eqNullSafe(_id_literal(rid))).limit(1).collect()
         if rows:
             return rows[0]
         for m in self.moves.get(table, ()):
@@ -98,6 +130,39 @@ class Store:
                 return self.row(table, RowId(*found[0]["least"]))
         return None
 
+    def row_of(self, handle: Handle, transaction: Transaction) -> Row | None:
+        """The row that a handle stands for. A handle whose row has given way to an equal one is repaired: from then on
+        it stands for the row that took its place."""
+        rid = transaction.id_of(handle)
+        found = self.row(handle.table, rid)
+        if found is not None and tuple(found[RID]) != rid.value():
+            transaction.repair(handle, RowId(*found[RID]))
+        return found
+
+    def cell(self, table: str, *arguments: object) -> object:
+        """The value of a function table, whose last column is the result, at these arguments; an error where it has
+        none."""
+        data = [c for c in self._table(table).columns if c != RID]
+        if len(arguments) != len(data) - 1:
+            raise StoreError(f"{table} takes {len(data) - 1} arguments, not {len(arguments)}")
+        values = {c: _id_literal(RowId(*a)) if isinstance(a, tuple) else _id_literal(a) if isinstance(a, RowId) else a for c, a in zip(data[:-1], arguments, strict=True)}
+        got = seek(self._table(table), **values).select(F.col(f"`{data[-1]}`").alias("v")).limit(1).collect()
+        if not got:
+            raise StoreError(f"{table} has no value at {arguments}")
+        return got[0].v
+
+    def applied(self, rows: DataFrame, table: str, arguments: Sequence[str], name: str) -> DataFrame:
+        """`rows` with a column `name`: a function table's value at the columns `arguments`. Rows for which it has none
+        go, as in a join of antecedents."""
+        data = [c for c in self._table(table).columns if c != RID]
+        if len(arguments) != len(data) - 1:
+            raise StoreError(f"{table} takes {len(data) - 1} arguments, not {len(arguments)}")
+        right = self._table(table).select(*(F.col(f"`{c}`").alias(f"arg_{k}") for k, c in enumerate(data[:-1])), F.col(f"`{data[-1]}`").alias("result"))
+        on = F.lit(True)
+        for k, a in enumerate(arguments):
+            on = on & F.col(f"`{a}`").eqNullSafe(F.col(f"arg_{k}"))
+        return rows.join(right, on).select(*(F.col(f"`{c}`") for c in rows.columns), F.col("result").alias(name))
+
     def seek(self, table: str, **equals: object) -> DataFrame:
         return seek(self._table(table), **equals)
 
@@ -139,12 +204,24 @@ class Store:
     def transaction(self) -> Transaction:
         return Transaction(self)
 
-    def copy_into(self, table: str, path: str, delimiter: str = ",", header: bool = True) -> str:
-        """COPY: a file's rows as one commit. Reading is distributed, so it needs no chunks of its own."""
+    def copy_into(self, table: str, path: str, delimiter: str = ",", header: bool = True, chunk_rows: int | None = None) -> str:
+        """COPY: a file's rows as one commit, or as one for each `chunk_rows` rows in the file's order; the last commit's
+        hash, none for a file without rows. A chunk that breaks a type, a key or a law is an error; the chunks before it
+        stay."""
         e = self.theory.entity(table)
-        with self.transaction() as t:
-            t.add_frame(table, copy_from(self.spark, path, {c.name: c.spark() for c in e.columns}, delimiter, header))
-        return t.hash
+        types = {c.name: c.spark() for c in e.columns}
+        if chunk_rows is None:
+            with self.transaction() as t:
+                t.add_frame(table, copy_from(self.spark, path, types, delimiter, header))
+            return t.hash
+        rows, last = copy_chunks(self.spark, path, types, chunk_rows, delimiter, header), ""
+        for r in rows.groupBy("chunk").agg(F.min("bad").alias("bad")).orderBy("chunk").collect():
+            if r.bad is not None:
+                raise StoreError(f"{path}: can't read {r.bad!r}")
+            with self.transaction() as t:
+                t.add_frame(table, rows.filter(F.col("chunk") == r.chunk).select(*(F.col(f"`{c}`") for c in types)))
+            last = t.hash
+        return last
 
     def _rows(self, c: Commit, table: str, hash_: str) -> DataFrame:
         """A commit's rows of a table, with ids made of its hash; ids of its own pending rows get the hash, too."""
@@ -159,8 +236,9 @@ class Store:
             cells.append(col.alias(x.name))
         return raw.select(rid.alias(RID), *cells)
 
-    def _next(self, new: list[Commit]) -> dict[str, DataFrame]:
-        """The tables with these commits applied, canonical and checked, or Rejected."""
+    def _next(self, new: list[Commit]) -> tuple[dict[str, DataFrame], dict[str, list[DataFrame]]]:
+        """The tables with these commits applied, canonical and checked, and the ids that gave way, or Rejected. The
+        store itself is not changed."""
         after, moves = dict(self.tables), {}
         for c in new:
             for t in c.files:
@@ -176,9 +254,13 @@ class Store:
         for law in self.theory.laws:
             if (self.strict or law.variant != "monitored") and (rows := violations(law, after).limit(5).collect()):
                 raise Rejected(law.name, rows)
-        for t, more in moves.items():
-            self.moves[t] = self.moves.get(t, []) + more
-        return {t: written(df, "table")[1] if t in touched or self.hash_consed else df for t, df in after.items()}
+        return {t: written(df, "table")[1] if t in touched or self.hash_consed else df for t, df in after.items()}, moves
+
+    def _publish(self, c: Commit) -> None:
+        """Put one commit's tables in place, all or nothing: what can fail comes first."""
+        tables, moves = self._next([c])
+        self.tables, self.commits = tables, {**self.commits, c.hash: c}
+        self.moves = {t: [*self.moves.get(t, []), *moves.get(t, [])] for t in {*self.moves, *moves}}
 
     def soft_violations(self) -> dict[str, DataFrame]:
         """Counterexamples of monitored laws, for stores that let them pass."""
@@ -193,11 +275,44 @@ class Store:
         done = []
         while todo:
             c = todo.pop(min(h for h, c in todo.items() if not set(c.parents) & set(todo)))
-            self.tables = self._next([c])
-            self.commits[c.hash] = c
+            self._publish(c)
             done.append(c.hash)
         return done
 
+    def chunks_after(self, heads: Iterable[str]) -> list[bytes]:
+        """What someone who has these heads lacks, as bytes, a chunk per commit, parents first: its hash, its parents
+        and its rows by table in Arrow's stream form. Commits travel whole, so a chunk has the size of its commit."""
+        out = []
+        for c in self.commits_after(heads):
+            rows = {}
+            for t, path in c.files.items():
+                sink = pa.BufferOutputStream()
+                table = self.spark.read.parquet(path).orderBy("_n").toArrow()
+                with pa.ipc.new_stream(sink, table.schema) as w:
+                    w.write_table(table)
+                rows[t] = base64.b64encode(sink.getvalue().to_pybytes()).decode()
+            out.append(json.dumps({"hash": c.hash, "parents": c.parents, "rows": rows}).encode())
+        return out
+
+    def apply_chunks(self, chunks: Iterable[bytes]) -> list[str]:
+        """Add the commits of chunks, in any order. A chunk whose rows don't give its hash is an error; nothing of any
+        chunk is then applied."""
+        commits = []
+        for raw in chunks:
+            c = json.loads(raw)
+            files, digests = {}, {}
+            for t, text in c["rows"].items():
+                with pa.ipc.open_stream(base64.b64decode(text)) as source:
+                    files[t], df = written(self._in_types(t, self.spark.createDataFrame(source.read_all())), "chunk")
+                digests[t] = digest(df)
+            if commit_hash(c["parents"], digests) != c["hash"]:
+                raise StoreError(f"a chunk does not hold what commit {c['hash']} says")
+            commits.append(Commit(c["hash"], tuple(c["parents"]), files))
+        return self.apply(commits)
+
+    def _in_types(self, table: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("_n").cast("long").alias("_n"), *(F.col(f"`{c.name}`").cast(c.spark()).alias(c.name) for c in self.theory.entity(table).columns))
+
     def merge(self, other: Store) -> list[str]:
         return self.apply(other.commits.values())
 
@@ -231,6 +346,7 @@ class Transaction:
         self._rows: dict[str, list[tuple]] = {}
         self._frames: list[tuple[str, DataFrame]] = []
         self._next = 0
+        self._repaired: dict[Handle, RowId] = {}
 
     def __enter__(self) -> Transaction:
         return self
@@ -285,25 +401,26 @@ class Transaction:
             e = store.theory.entity(t)
             cells = [F.col(f"`{c.name}`").cast(c.spark()).alias(c.name) for c in e.columns]
             # numbers of a frame's rows start where no other frame or added row can reach
-            parts.setdefault(t, []).append(rows.select(F.monotonically_increasing_id().alias("_p"), *cells).select((F.col("_p") + F.lit(k << 54)).alias("_n"), *(F.col(f"`{c.name}`") for c in e.columns)))
-        files, digest = {}, {}
+            parts.setdefault(t, []).append(numbered(rows.select(*cells), k << 54))
+        files, digests = {}, {}
         for t, dfs in sorted(parts.items()):
             df = dfs[0]
             for d in dfs[1:]:
                 df = df.unionByName(d)
             files[t], df = written(df, "commit")
-            sums = df.agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(s), *df.columns).cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2))).first()
-            digest[t] = [str(x) for x in sums]
+            digests[t] = digest(df)
         parents = tuple(store.heads())
-        self.hash = hashlib.sha256(json.dumps([parents, digest], sort_keys=True).encode()).hexdigest()
+        self.hash = commit_hash(parents, digests)
         if self.hash not in store.commits:
             c = Commit(self.hash, parents, files)
-            store.tables = store._next([c])
-            store.commits[c.hash] = c
+            store._publish(c)
         self.state = "committed"
         return self.hash
 
     def id_of(self, handle: Handle) -> RowId:
         if self.state != "committed":
             raise StoreError("ids are known after the commit")
-        return RowId(self.hash, handle.n)
+        return self._repaired.get(handle, RowId(self.hash, handle.n))
+
+    def repair(self, handle: Handle, rid: RowId) -> None:
+        self._repaired[handle] = rid
