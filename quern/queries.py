@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import Assign, At, Binary, Block, Call, Const, Fn, Let, Ref, Tup, Unary
@@ -13,32 +11,17 @@ from quern.operators.integrity import key_violations, violations
 from quern.operators.zset import ZSet
 from quern.plans import fixpoint, hypercube, ir
 from quern.plans.conjunctive import evaluate
-from quern.plans.program import Alias, AntiJoin, Difference, Distinct, EquiJoin, Iterate, Planner, Product, Project, Select, Source, ThetaJoin, Union
+from quern.plans.program import Alias, AntiJoin, Difference, Distinct, EquiJoin, Iterate, Pick, Planner, Product, Project, Select, Source, ThetaJoin, Union
 from quern.plans.theory import Equal, Law, RuleAtom
+from quern.registry import QUERIES, SQL, read, register
 from quern.sources.tables import seek
-from quern.streaming.incremental import Circuit
+from quern.streaming import dataflow
+from quern.streaming.incremental import Circuit, StepTransaction
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 #: Queries that bench.py times.
 HEADLINES = ["cq_chain", "cq_triangle", "cq_nested_terms", "dl_ancestor", "dl_ancestor_doubling", "ra_equi_join", "ra_anti_join", "ra_difference", "inc_join_delta", "rule_fk_violations", "pk_duplicates", "hashcons_docs"]
 
 
-def register(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.selectExpr(*columns) if columns else df
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> ir.Catalog:
     r = lambda t, *c: read(spark, sf_dir, t, *c)
     return ir.Catalog(
@@ -126,7 +109,7 @@ _ANCESTOR = "anc(x, y) :- parent(x, y).\nanc(x, z) :- anc(x, y), parent(y, z)."
 
 def derived(spark: SparkSession, facts: ir.Catalog, text: str, relation: str, double: bool = False, **options) -> DataFrame:
     p = ir.program(text)
-    return fixpoint.evaluate(spark, fixpoint.doubled(p) if double else p, facts, **options).relations[relation]
+    return fixpoint.evaluate(spark, p, facts, double=double, **options).relations[relation]
 
 
 @register(f"{_TREE} SELECT x, y FROM r")
@@ -139,14 +122,10 @@ def dl_ancestor_doubling(spark, sf_dir):
     return derived(spark, ir.Catalog(parent=catalog(spark, sf_dir)["parent"]), _ANCESTOR, "anc", double=True)
 
 
-def ancestor_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, ir.Catalog(parent=catalog(spark, sf_dir)["parent"]), _ANCESTOR, "anc", semi_naive=False)
-
-
-@register(f"{_TREE} SELECT x, y FROM r WHERE x <= 20 AND y <= 60")
+@register(f"{_TREE} SELECT x, y FROM r")
 def dl_ancestor_naive(spark, sf_dir):
-    """The closure of the whole table; of it the query returns the rows that its SQL asks for."""
-    return ancestor_naive(spark, sf_dir).filter("x <= 20 and y <= 60")
+    """Every round evaluates the rules over all facts."""
+    return derived(spark, ir.Catalog(parent=catalog(spark, sf_dir)["parent"]), _ANCESTOR, "anc", semi_naive=False)
 
 
 @register("WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS x, (n_nationkey * 3 + 1) % 25 AS y FROM nation), r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x, y FROM r")
@@ -165,30 +144,27 @@ def dl_even_odd(spark, sf_dir):
     return derived(spark, ir.Catalog(succ=catalog(spark, sf_dir)["parent"]), "even(n) :- odd(m), succ(m, n).\nodd(n) :- even(m), succ(m, n).", "odd", seeds=seeds)
 
 
-#: The facts of a small object-oriented program, for on-the-fly call-graph construction.
-POINTS_TO = {
-    "alloc": [("g", "oG"), ("d", "oDog"), ("c", "oCat")],
-    "assign": [("ac", "c")],
-    "vcall": [("s1", "g", "greet"), ("s2", "g", "greet"), ("s3", "x", "speak")],
-    "htype": [("oG", "Greeter"), ("oDog", "Dog"), ("oCat", "Cat")],
-    "dispatch": [("Greeter", "greet", "Greeter.greet"), ("Dog", "speak", "Dog.speak"), ("Cat", "speak", "Cat.speak")],
-    "actual": [("s1", "d"), ("s2", "ac")],
-    "formal": [("Greeter.greet", "x")],
-}
-POINTS_TO_RULES = """
-points(v, o) :- alloc(v, o).
-points(d, o) :- assign(d, s), points(s, o).
-calls(s, m) :- vcall(s, r, g), points(r, o), htype(o, t), dispatch(t, g, m).
-points(p, o) :- calls(s, m), actual(s, a), formal(m, p), points(a, o).
-"""
-
-
-@register("SELECT * FROM (VALUES ('points', 'g', 'oG'), ('points', 'd', 'oDog'), ('points', 'c', 'oCat'), ('points', 'ac', 'oCat'), ('points', 'x', 'oDog'), ('points', 'x', 'oCat'), ('calls', 's1', 'Greeter.greet'), ('calls', 's2', 'Greeter.greet'), ('calls', 's3', 'Dog.speak'), ('calls', 's3', 'Cat.speak')) t(relation, a, b)")
-def dl_points_to(spark, sf_dir):
-    facts = ir.Catalog({k: spark.createDataFrame(v, ", ".join(f"c{i} string" for i in range(len(v[0])))) for k, v in POINTS_TO.items()})
-    got = fixpoint.evaluate(spark, ir.program(POINTS_TO_RULES), facts).relations
-    a, b = (got[k].select(F.lit(k).alias("relation"), *(F.col(c).alias(n) for c, n in zip(got[k].columns, "ab", strict=True))) for k in ("points", "calls"))
-    return a.unionAll(b)
+@register(
+    """WITH RECURSIVE b AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_linenumber = 1),
+    r(kind, id) AS (
+        SELECT 'buyer', c_custkey FROM customer WHERE c_nationkey = 3
+        UNION (
+            SELECT 'item', b.p FROM r JOIN b ON r.id = b.c WHERE r.kind = 'buyer'
+            UNION ALL SELECT 'buyer', b.c FROM r JOIN b ON r.id = b.p WHERE r.kind = 'item'))
+    SELECT kind, id FROM r"""
+)
+def dl_buyers_and_items(spark, sf_dir):
+    """Mutual recursion through joins of several atoms: from one nation's customers to the parts that they sent back, on
+    to others who did so, and so forth."""
+    c = catalog(spark, sf_dir)
+    rules = """
+    buyer(c) :- customer(c, 3).
+    item(p) :- buyer(c), orders(o, c), line(o, p, _, 1, 'R').
+    buyer(c) :- item(p), line(o, p, _, 1, 'R'), orders(o, c).
+    """
+    got = fixpoint.evaluate(spark, ir.program(rules), ir.Catalog(customer=c["customer"], orders=c["orders"], line=c["line"])).relations
+    one, two = (got[k].select(F.lit(k).alias("kind"), F.col(got[k].columns[0]).alias("id")) for k in ("buyer", "item"))
+    return one.unionAll(two)
 
 
 @register("SELECT DISTINCT CAST(c_custkey // 2 AS BIGINT) AS x, CAST(1 AS INTEGER) AS c1 FROM customer WHERE c_custkey > 1")
@@ -206,18 +182,66 @@ def dl_seeded(spark, sf_dir):
     return derived(spark, ir.Catalog(parent=catalog(spark, sf_dir)["parent"]), "reach(x, z) :- reach(x, y), parent(y, z).", "reach", seeds=seeds)
 
 
-@register(
-    """WITH RECURSIVE e AS (SELECT c_custkey // 3 AS x, c_custkey AS y FROM customer WHERE c_custkey > 2),
-    up(n, top) AS (SELECT DISTINCT x, x FROM e WHERE x NOT IN (SELECT y FROM e) UNION SELECT e.y, up.top FROM up JOIN e ON e.x = up.n)
-    SELECT a.n AS a, b.n AS b FROM up a JOIN up b ON a.top = b.top WHERE a.n <= 8 AND b.n <= 8"""
-)
-def dl_same_root(spark, sf_dir):
-    """Non-linear, over a relation and its converse: which nodes hang together."""
-    e = read(spark, sf_dir, "customer", "c_custkey div 3 as x", "c_custkey as y").filter("y > 2 and y <= 8")
+@register("SELECT a.conv_id * 100 + a.turn AS a, b.conv_id * 100 + b.turn AS b FROM (SELECT DISTINCT conv_id, turn FROM conversations) a JOIN (SELECT DISTINCT conv_id, turn FROM conversations) b ON a.conv_id = b.conv_id")
+def dl_same_conversation(spark, sf_dir):
+    """Non-linear, over a relation and its converse: which turns hang together. Components are conversations."""
+    turns = read(spark, sf_dir, "conversations", "conv_id * 100 + turn as y").distinct()
+    e = turns.selectExpr("y - 1 as x", "y").join(turns.withColumnRenamed("y", "x"), "x").select("x", "y")
     rules = "con(x, y) :- e(x, y).\ncon(y, x) :- e(x, y).\ncon(x, z) :- con(x, y), con(y, z)."
     return derived(spark, ir.Catalog(e=e), rules, "con").selectExpr("x as a", "y as b")
 
 
+@register(
+    f"""{_TREE}, d(x, y, depth) AS (SELECT x, y, 1 FROM e UNION ALL SELECT d.x, e.y, d.depth + 1 FROM d JOIN e ON d.y = e.x)
+    SELECT CAST(depth AS INTEGER) AS round, CAST(count(*) AS BIGINT) AS new_facts FROM d GROUP BY depth UNION ALL SELECT CAST(max(depth) + 1 AS INTEGER), CAST(0 AS BIGINT) FROM d"""
+)
+def dl_fixpoint_stats(spark, sf_dir):
+    """How many facts each round of the closure found; the last one finds none."""
+    got = fixpoint.evaluate(spark, ir.program(_ANCESTOR), ir.Catalog(parent=catalog(spark, sf_dir)["parent"]))
+    return spark.createDataFrame([(k, r["anc"]) for k, r in enumerate(got.new_facts, 1)], "round int, new_facts long")
+
+
+@register(
+    f"""{_TREE}, d(x, y, depth) AS (SELECT x, y, 1 FROM e UNION ALL SELECT d.x, e.y, d.depth + 1 FROM d JOIN e ON d.y = e.x)
+    SELECT CAST(b AS INTEGER) AS bound, b > (SELECT max(depth) FROM d) AS reached FROM (VALUES (2), (4), (30)) t(b)"""
+)
+def dl_bounded_rounds(spark, sf_dir):
+    """A bound on the rounds is an error where the fixpoint needs more."""
+    def reached(bound: int) -> bool:
+        try:
+            fixpoint.evaluate(spark, ir.program(_ANCESTOR), ir.Catalog(parent=catalog(spark, sf_dir)["parent"]), max_rounds=bound)
+        except ir.ProgramError:
+            return False
+        return True
+
+    return spark.createDataFrame([(b, reached(b)) for b in (2, 4, 30)], "bound int, reached boolean")
+
+
+@register(
+    """WITH RECURSIVE e AS (SELECT DISTINCT nullif(o_custkey % 7, 0) AS x, nullif((o_custkey * 3 + 1) % 7, 0) AS y FROM orders),
+    r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x, y FROM r"""
+)
+def dl_cycle_with_nulls(spark, sf_dir):
+    """Nulls are kept in facts, and join nothing."""
+    edges = read(spark, sf_dir, "orders", "nullif(o_custkey % 7, 0) as x", "nullif((o_custkey * 3 + 1) % 7, 0) as y")
+    return derived(spark, ir.Catalog(edge=edges), "path(x, y) :- edge(x, y).\npath(x, z) :- path(x, y), edge(y, z).", "path")
+
+
+@register(
+    """WITH RECURSIVE e AS (SELECT c_custkey // 2 AS x, c_custkey AS y FROM customer WHERE c_custkey > 1),
+    s(x, y) AS (
+        SELECT x, y FROM e UNION ALL SELECT CAST(-n_nationkey - 1 AS BIGINT), CAST(n_nationkey + 1 AS BIGINT) FROM nation
+        UNION ALL SELECT CAST(-99 AS BIGINT), CAST(2 AS BIGINT)),
+    r(x, y) AS (SELECT x, y FROM s UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x, y FROM r"""
+)
+def dl_doubled_with_seeds(spark, sf_dir):
+    """A linear closure that also has facts from another rule and from seeds: doubling goes over the edges alone."""
+    more = read(spark, sf_dir, "nation", "cast(-n_nationkey - 1 as bigint) as x", "cast(n_nationkey + 1 as bigint) as y")
+    rules = "reach(x, y) :- parent(x, y).\nreach(x, y) :- more(x, y).\nreach(x, z) :- reach(x, y), parent(y, z)."
+    seeds = {"reach": spark.createDataFrame([(-99, 2)], "x long, y long")}
+    return derived(spark, ir.Catalog(parent=catalog(spark, sf_dir)["parent"], more=more), rules, "reach", double=True, seeds=seeds)
+
+
 # relational algebra
 
 
@@ -306,21 +330,17 @@ def ra_intersect(spark, sf_dir):
     return a.intersect(b).weighted()
 
 
-def fixpoint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ZSet.of(read(spark, sf_dir, "customer", "c_custkey div 2 as f", "c_custkey as t", "c_custkey % 5 as weight").filter("t > 1"))
-    start = Project(Source("e"), attrs(f=Ref("f"), t=Ref("t"), cost=Ref("weight"), hops=Const(1)))
-    step = EquiJoin(Alias(Ref("path"), "a"), Alias(Source("e"), "b"), ((Ref("t"), Ref("f")),), attrs(f=Ref("a.f"), t=Ref("b.t"), cost=Binary("+", Ref("a.cost"), Ref("b.weight")), hops=Binary("+", Ref("a.hops"), Const(1))))
-    return plan(spark, Iterate("path", start, step), e=e).weighted()
-
-
 @register(
-    """WITH RECURSIVE e AS (SELECT c_custkey // 2 AS f, c_custkey AS t, c_custkey % 5 AS weight FROM customer WHERE c_custkey > 1 AND c_custkey <= 300),
+    """WITH RECURSIVE e AS (SELECT c_custkey // 2 AS f, c_custkey AS t, c_custkey % 5 AS weight FROM customer WHERE c_custkey > 1),
     r(f, t, cost, hops) AS (SELECT f, t, weight, CAST(1 AS BIGINT) FROM e UNION ALL SELECT r.f, e.t, r.cost + e.weight, r.hops + 1 FROM r JOIN e ON r.t = e.f)
     SELECT f, t, cost, hops, CAST(1 AS BIGINT) AS w FROM r"""
 )
 def ra_fixpoint_paths(spark, sf_dir):
-    """The paths of the whole table; of them the query returns the rows that its SQL asks for."""
-    return fixpoint_paths(spark, sf_dir).filter("t <= 300")
+    """All paths of the table with their costs and hops."""
+    e = ZSet.of(read(spark, sf_dir, "customer", "c_custkey div 2 as f", "c_custkey as t", "c_custkey % 5 as weight").filter("t > 1"))
+    start = Project(Source("e"), attrs(f=Ref("f"), t=Ref("t"), cost=Ref("weight"), hops=Const(1)))
+    step = EquiJoin(Alias(Ref("path"), "a"), Alias(Source("e"), "b"), ((Ref("t"), Ref("f")),), attrs(f=Ref("a.f"), t=Ref("b.t"), cost=Binary("+", Ref("a.cost"), Ref("b.weight")), hops=Binary("+", Ref("a.hops"), Const(1))))
+    return plan(spark, Iterate("path", start, step), e=e).weighted()
 
 
 @register("SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 OR n_nationkey < 5 THEN 'x' ELSE 'x' END AS tag, CAST(1 AS BIGINT) AS w FROM nation WHERE n_regionkey <> 1 AND (n_regionkey = 2 OR n_nationkey < 5)")
@@ -331,13 +351,27 @@ def ra_scopes(spark, sf_dir):
         Let("limit", Const(0)),
         Block((Assign("limit", Const(5)), Let("pair", Const(None)))),
         Project(
-            Select(Source("n"), Binary("and", Binary("!=", Ref("n_regionkey"), At(Ref("pair"), Const(0))), Binary("or", Binary("==", Ref("n_regionkey"), Const(2)), Binary("<", Ref("n_nationkey"), Ref("limit"))))),
+            Select(Source("n"), Binary("and", Binary("!=", Ref("n_regionkey"), At(Ref("pair"), Binary("-", Const(1), Const(1)))), Binary("or", Binary("==", Ref("n_regionkey"), Const(2)), Binary("<", Ref("n_nationkey"), Ref("limit"))))),
             attrs(k=Ref("n_nationkey"), tag=At(Ref("pair"), Const(1))),
         ),
     ))
     return plan(spark, program, n=ZSet.of(read(spark, sf_dir, "nation"))).weighted()
 
 
+@register("SELECT c_nationkey AS nation, c_custkey AS k, CAST(1 AS BIGINT) AS w FROM customer")
+def ra_pick(spark, sf_dir):
+    """Columns picked, renamed and put in another order: the schema changes, no row does."""
+    return plan(spark, Pick(Source("c"), (("nation", "c_nationkey"), ("k", "c_custkey"))), c=ZSet.of(read(spark, sf_dir, "customer"))).weighted()
+
+
+@register("SELECT n_nationkey AS k, n_name AS name, CAST(1 AS BIGINT) AS weight FROM nation")
+def ra_table_text(spark, sf_dir):
+    """A relation as a table of text, read back from the text."""
+    text = ZSet.of(read(spark, sf_dir, "nation", "n_nationkey", "n_name")).table(1000)
+    cells = [[c.strip() for c in line.strip("|").split("|")] for line in text.splitlines() if line.startswith("|")]
+    return spark.createDataFrame([(int(k), name, int(w)) for w, k, name in cells[1:]], "k int, name string, weight long")
+
+
 # incremental evaluation
 
 
@@ -382,58 +416,114 @@ def inc_anti_join(spark, sf_dir):
     return c.step({"o": orders(1)}).weighted()
 
 
-def retract_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = EquiJoin(Alias(Ref("p"), "a"), Alias(Source("e"), "b"), ((Ref("y"), Ref("x")),), attrs(x=Ref("a.x"), y=Ref("b.y")))
-    c = Circuit(spark, Iterate("p", Source("e"), step), {"e": "x long, y long"})
-    c.step({"e": ZSet.of(read(spark, sf_dir, "customer", "c_custkey div 2 as x", "c_custkey as y").filter("y > 1"))})
-    return c.step({"e": ZSet.rows(spark, "x long, y long", [(2, 5)], [-1])}).weighted()
+_CLOSURE_STEP = EquiJoin(Alias(Ref("p"), "a"), Alias(Source("e"), "b"), ((Ref("y"), Ref("x")),), attrs(x=Ref("a.x"), y=Ref("b.y")))
 
 
 @register(
-    """WITH RECURSIVE e AS (SELECT c_custkey // 2 AS x, c_custkey AS y FROM customer WHERE c_custkey > 1 AND c_custkey <= 100),
+    """WITH RECURSIVE e AS (SELECT c_custkey // 2 AS x, c_custkey AS y FROM customer WHERE c_custkey > 1),
     r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
     s(x, y) AS (SELECT x, y FROM e WHERE NOT (x = 2 AND y = 5) UNION SELECT s.x, e.y FROM s JOIN e ON s.y = e.x AND NOT (e.x = 2 AND e.y = 5))
     SELECT x, y, CAST(-1 AS BIGINT) AS w FROM (SELECT x, y FROM r EXCEPT SELECT x, y FROM s)"""
 )
 def inc_retract_closure(spark, sf_dir):
-    """A transitive closure's delta when one edge of the whole table is taken away; the rows that its SQL asks for."""
-    return retract_closure(spark, sf_dir).filter("y <= 100")
-
-
-#: Five steps of a replicated register's history: (predecessor pairs, set operations).
-REGISTER_HISTORY = [
-    ([], [(0, 0, 1, 1)]),
-    ([(0, 0, 0, 1), (0, 0, 1, 0)], [(0, 1, 1, 2), (1, 0, 1, 3)]),
-    ([(0, 1, 1, 2), (1, 0, 1, 2)], [(1, 2, 1, 4)]),
-    ([(0, 3, 0, 4)], [(0, 4, 1, 6)]),
-    ([(1, 2, 0, 3)], [(0, 3, 1, 5)]),
-]
-
-
-def register_program() -> object:
-    """Values of operations that are ready (all that leads to them is there) and that no other overwrites."""
-    ids = lambda r, a, b: Distinct(Project(Source(r), attrs(rep=Ref(a), ctr=Ref(b))))
-    key = ((Ref("rep"), Ref("rep")), (Ref("ctr"), Ref("ctr")))
-    root = AntiJoin(ids("ops", "rep", "ctr"), ids("pred", "to_rep", "to_ctr"), key)
-    step = EquiJoin(Alias(Ref("ready"), "a"), Alias(Source("pred"), "b"), ((Ref("rep"), Ref("from_rep")), (Ref("ctr"), Ref("from_ctr"))), attrs(rep=Ref("b.to_rep"), ctr=Ref("b.to_ctr")))
-    # overwritten by an operation that has itself arrived; one still missing doesn't hide its predecessors
-    there = EquiJoin(Alias(Source("pred"), "p"), Alias(Source("ops"), "o"), ((Ref("to_rep"), Ref("rep")), (Ref("to_ctr"), Ref("ctr"))), attrs(rep=Ref("p.from_rep"), ctr=Ref("p.from_ctr")))
-    leaf = AntiJoin(Source("ops"), Distinct(there), key)
-    return Project(EquiJoin(Alias(leaf, "l"), Alias(Iterate("ready", root, step), "r"), key, attrs(key=Ref("l.key"), value=Ref("l.value"))), attrs(key=Ref("key"), value=Ref("value")))
-
-
-@register("SELECT CAST(step AS INTEGER) AS step, CAST(key AS BIGINT) AS key, CAST(value AS BIGINT) AS value, CAST(w AS BIGINT) AS w FROM (VALUES (1, 1, 1, 1), (2, 1, 1, -1), (2, 1, 2, 1), (2, 1, 3, 1), (3, 1, 2, -1), (3, 1, 3, -1), (3, 1, 4, 1), (5, 1, 4, -1), (5, 1, 6, 1)) t(step, key, value, w)")
-def inc_register(spark, sf_dir):
-    """A replicated register's visible values, step by step; the fourth step's operation waits for the fifth's."""
-    pred, ops = "from_rep long, from_ctr long, to_rep long, to_ctr long", "rep long, ctr long, key long, value long"
-    c = Circuit(spark, register_program(), {"pred": pred, "ops": ops})
+    """A transitive closure's delta when one edge of the whole table is taken away."""
+    c = Circuit(spark, Iterate("p", Source("e"), _CLOSURE_STEP), {"e": "x long, y long"})
+    c.step({"e": ZSet.of(read(spark, sf_dir, "customer", "c_custkey div 2 as x", "c_custkey as y").filter("y > 1"))})
+    return c.step({"e": ZSet.rows(spark, "x long, y long", [(2, 5)], [-1])}).weighted()
+
+
+def visible_program() -> object:
+    """Turns that are ready (all that lead to them have come) and that no other ready one follows."""
+    key = ((Ref("conv"), Ref("conv")), (Ref("turn"), Ref("turn")))
+    ids = lambda r, turn: Distinct(Project(Source(r), attrs(conv=Ref("conv"), turn=Ref(turn))))
+    root = AntiJoin(ids("said", "turn"), ids("after", "turn"), key)
+    step = EquiJoin(Alias(Ref("ready"), "a"), Alias(Source("after"), "b"), ((Ref("conv"), Ref("conv")), (Ref("turn"), Ref("prev"))), attrs(conv=Ref("b.conv"), turn=Ref("b.turn")))
+    ready = Iterate("ready", root, step)
+    followed = Distinct(EquiJoin(Alias(Source("after"), "p"), Alias(ready, "r"), key, attrs(conv=Ref("p.conv"), turn=Ref("p.prev"))))
+    return AntiJoin(ready, followed, key)
+
+
+@register(
+    """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations), s AS (SELECT unnest([1, 2]) AS step),
+    a AS (SELECT step, conv_id, turn, bool_and(step = 2 OR turn % 3 <> 1) OVER (PARTITION BY step, conv_id ORDER BY turn) AS ready FROM t, s),
+    v AS (SELECT step, conv_id, max(turn) AS turn FROM a WHERE ready GROUP BY 1, 2)
+    SELECT step, conv_id AS conv, turn, CAST(1 AS BIGINT) AS w FROM v WHERE step = 1
+    UNION ALL SELECT CAST(2 AS INTEGER), conv_id, turn, CAST(-1 AS BIGINT) FROM v WHERE step = 1 AND (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM v WHERE step = 2)
+    UNION ALL SELECT step, conv_id, turn, CAST(1 AS BIGINT) FROM v WHERE step = 2 AND (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM v WHERE step = 1)"""
+)
+def inc_out_of_order(spark, sf_dir):
+    """The last visible turn of every conversation, when every third turn comes late: what follows waits for it."""
+    turns = read(spark, sf_dir, "conversations", "conv_id as conv", "turn").distinct()
+    after = turns.withColumn("prev", F.lag("turn").over(Window.partitionBy("conv").orderBy("turn")))
+    c = Circuit(spark, visible_program(), {"said": "conv long, turn long", "after": "conv long, prev long, turn long"})
     out = None
-    for n, (p, o) in enumerate(REGISTER_HISTORY, 1):
-        d = c.step({"pred": ZSet.rows(spark, pred, p), "ops": ZSet.rows(spark, ops, o)}).weighted().select(F.lit(n).alias("step"), "key", "value", "w")
+    for n, late in enumerate(("turn % 3 <> 1", "turn % 3 = 1"), 1):
+        come = after.filter(late)
+        d = c.step({"said": ZSet.of(come.select("conv", "turn")), "after": ZSet.of(come.filter("prev is not null").select("conv", "prev", "turn"))}).weighted().select(F.lit(n).alias("step"), "conv", "turn", "w")
         out = d if out is None else out.unionAll(d)
     return out
 
 
+@register(
+    """SELECT 'users' AS output, user_id AS k, CAST(1 AS BIGINT) AS w FROM events WHERE event_id % 2 = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0) GROUP BY user_id
+    UNION ALL SELECT 'purchases', event_id, CAST(1 AS BIGINT) FROM events WHERE event_id % 2 = 1 AND event_type = 'purchase'"""
+)
+def inc_multi_output(spark, sf_dir):
+    """Two outputs of one circuit when the second half of the events comes: new users, and purchases."""
+    users = Distinct(Project(Source("e"), attrs(k=Ref("user_id"))))
+    purchases = Project(Select(Source("e"), Binary("==", Ref("event_type"), Const("purchase"))), attrs(k=Ref("event_id")))
+    c = Circuit(spark, (users, purchases), {"e": "event_id long, user_id long, event_type string"})
+    c.step({"e": _events(spark, sf_dir, "event_id % 2 = 0")})
+    a, b = c.step({"e": _events(spark, sf_dir, "event_id % 2 = 1")})
+    return a.weighted().select(F.lit("users").alias("output"), "k", "w").unionAll(b.weighted().select(F.lit("purchases").alias("output"), "k", "w"))
+
+
+@register(
+    """SELECT n AS transaction, CASE WHEN n = 2 THEN 'rejected' WHEN n = 4 THEN 'aborted' ELSE 'committed' END AS state,
+    CASE WHEN n = 1 THEN (SELECT count(*) FROM customer WHERE c_acctbal >= 0) WHEN n = 3 THEN (SELECT count(*) FROM customer WHERE c_acctbal < 0) ELSE 0 END AS added,
+    CASE WHEN n IN (2, 3) AND EXISTS (SELECT 1 FROM customer WHERE c_acctbal < 0) THEN 'in debt' ELSE '' END || CASE WHEN n = 2 THEN ',twice' ELSE '' END AS violated
+    FROM (SELECT CAST(range AS INTEGER) AS n FROM range(1, 5))"""
+)
+def inc_transactions(spark, sf_dir):
+    """Transactions over all customers: one that passes, one that a hard check rejects, one with soft violations, one
+    that is left without a commit."""
+    customer = ZSet.of(read(spark, sf_dir, "customer", "c_custkey as k", "c_acctbal < 0 as debt"))
+    c = Circuit(spark, Source("c"), {"c": "k long, debt boolean"})
+    one, two = Alias(Source("c"), "a"), Alias(Source("c"), "b")
+    pairs = EquiJoin(Alias(Project(one, attrs(k=Ref("k"))), "x"), Alias(Project(two, attrs(j=Ref("k"))), "y"), ((Ref("k"), Ref("j")),), attrs(k=Ref("k")))
+    twice = Difference(pairs, Project(Source("c"), attrs(k=Ref("k"))))  # a row that is there n times makes n * n pairs
+    checks = {"twice": (twice, True), "in debt": (Select(Source("c"), Ref("debt")), False)}
+    out = []
+    for n, rows in enumerate((customer.select(Unary("not", Ref("debt"))), customer, customer.select(Ref("debt")), customer), 1):
+        with StepTransaction(c, checks) as t:
+            t.insert("c", rows)
+            delta, bad = t.commit() if n < 4 else (None, {})
+        out.append((n, t.state, delta.df.count() if delta else 0, ",".join(sorted(bad))))
+    return spark.createDataFrame(out, "transaction int, state string, added long, violated string")
+
+
+@register(
+    """WITH b AS (SELECT CAST(event_id % 3 AS INTEGER) AS step, event_type AS t, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT DISTINCT step FROM b), k AS (SELECT DISTINCT t FROM b),
+    g AS (SELECT s.step, k.t, coalesce(n, 0) AS n FROM s CROSS JOIN k LEFT JOIN b ON b.step = s.step AND b.t = k.t)
+    SELECT step, t, CAST(sum(n) OVER w AS BIGINT) AS total, CAST(coalesce(lag(n) OVER w, 0) AS BIGINT) AS before, CAST(n - coalesce(lag(n) OVER w, 0) AS BIGINT) AS change FROM g
+    WINDOW w AS (PARTITION BY t ORDER BY step)"""
+)
+def inc_dataflow(spark, sf_dir):
+    """A stream of three batches: its running total, itself one step late, and what changes from step to step."""
+    stream = dataflow.generator(lambda n: _events(spark, sf_dir, f"event_id % 3 = {n}").project({"t": Ref("event_type")}))
+    total, late, change = dataflow.Integrate(spark), dataflow.Delay(spark), dataflow.Differentiate(spark)
+    out = None
+    types = read(spark, sf_dir, "events", "event_type as t").distinct()
+    for n, batch in zip(range(3), stream, strict=False):
+        parts = {"total": total(batch), "before": late(batch), "change": change(batch)}
+        row = types.select(F.lit(n).alias("step"), "t")
+        for name, z in parts.items():
+            row = row.join(z.weighted(name).withColumnRenamed("t", f"t_{name}"), F.col("t") == F.col(f"t_{name}"), "left").drop(f"t_{name}")
+        row = row.select("step", "t", *(F.coalesce(F.col(x), F.lit(0)).alias(x) for x in parts))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 # integrity
 
 
@@ -482,6 +572,25 @@ def rule_joined_consequent(spark, sf_dir):
     return violations(law, _tables(spark, sf_dir))
 
 
+@register("SELECT DISTINCT l_orderkey AS x, l_partkey AS y, l_partkey AS z FROM lineitem WHERE l_partkey = l_suppkey AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey = 7)")
+def rule_antecedent_equality(spark, sf_dir):
+    """Lines whose part and supplier have one number belong to customer 7: an equality among the antecedents, over two
+    variables, and one of a variable and a constant among the consequents."""
+    w = ir.Var("w")
+    law = Law("line.equal", (RuleAtom("lineitem", ((0, X), (1, Y), (2, Z))), Equal(Y, Z)), (RuleAtom("orders", ((0, X), (1, w))), Equal(w, ir.Lit(7))))
+    return violations(law, _tables(spark, sf_dir))
+
+
+@register("SELECT p_partkey AS x FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 2 = 1)")
+def rule_row_id_membership(spark, sf_dir):
+    """References by row id: every part is one that a line of an odd supplier points to."""
+    part = read(spark, sf_dir, "part", "named_struct('commit', 'p', 'n', p_partkey) as _rid", "p_partkey")
+    line = read(spark, sf_dir, "lineitem", "named_struct('commit', 'l', 'n', l_orderkey * 100 + l_linenumber) as _rid", "named_struct('commit', 'p', 'n', l_partkey) as part", "l_suppkey % 2 as odd")
+    r = ir.Var("r")
+    law = Law("part.sold", (RuleAtom("Part", ((0, X),), r),), (RuleAtom("Line", ((0, r), (1, ir.Lit(1)))),))
+    return violations(law, {"Part": part, "Line": line}).select("x")
+
+
 @register("SELECT l_orderkey, l_suppkey, CAST(count(*) AS BIGINT) AS \"rows\" FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def pk_duplicates(spark, sf_dir):
     return key_violations(read(spark, sf_dir, "lineitem"), ("l_orderkey", "l_suppkey"))
@@ -506,8 +615,6 @@ def hashcons_docs(spark, sf_dir):
 )
 def commit_ancestors(spark, sf_dir):
     """Ancestors in a graph of many small histories: a conversation's turns."""
-    from pyspark.sql import Window
-
     turns = read(spark, sf_dir, "conversations", "conv_id", "turn").distinct()
     parent = turns.withColumn("prev", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("prev is not null").select("conv_id", "prev", "turn")
     return derived(spark, ir.Catalog(parent=parent), "anc(c, a, d) :- parent(c, a, d).\nanc(c, a, d) :- anc(c, a, m), parent(c, m, d).", "anc")

@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from quern.queries import QUERIES, SQL
+from quern import queries, store_queries  # noqa: F401  both register theirs
+from quern.registry import QUERIES, SQL
 
 #: Each takes many rounds; the driver runs them all at a larger size.
-SLOW = {"inc_register", "dl_cycle", "dl_ancestor_naive", "inc_retract_closure"}
+SLOW = {"dl_cycle", "dl_cycle_with_nulls", "dl_ancestor_naive"}
 
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,8 @@
-"""The recursive engine queries over the whole customer table, against brute force."""
+"""Registered queries of the engine read whole tables: every id of the recursive ones, against brute force."""
 
 from quern import queries as Q
 
-#: Large enough that every prefix of ids would show: 1,500 customers.
+#: Large enough that a prefix of ids would show: 1,500 customers.
 DATA = "/root/testdata/sf0.01"
 
 
@@ -21,8 +21,8 @@ def paths(spark):
 
 def test_closures_cover_the_whole_table(spark):
     want = paths(spark)
-    assert sorted((r.x, r.y) for r in Q.ancestor_naive(spark, DATA).collect()) == sorted(want)
-    assert sorted((r.f, r.t, r.cost, r.hops, r.w) for r in Q.fixpoint_paths(spark, DATA).collect()) == sorted((*k, *v, 1) for k, v in want.items())
+    assert sorted((r.x, r.y) for r in Q.dl_ancestor_doubling(spark, DATA).collect()) == sorted(want)
+    assert sorted((r.f, r.t, r.cost, r.hops, r.w) for r in Q.ra_fixpoint_paths(spark, DATA).collect()) == sorted((*k, *v, 1) for k, v in want.items())
 
 
 def test_retraction_reaches_the_whole_table(spark):
@@ -33,4 +33,4 @@ def test_retraction_reaches_the_whole_table(spark):
 
     want = sorted((x, y, -1) for x, y in paths(spark) if x in (1, 2) and below_five(y))
     assert any(y > 100 for _, y, _ in want)
-    assert sorted((r.x, r.y, r.w) for r in Q.retract_closure(spark, DATA).collect()) == want
+    assert sorted((r.x, r.y, r.w) for r in Q.inc_retract_closure(spark, DATA).collect()) == want
