@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -103,36 +105,73 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds.types, strict=True)], schema=kinds)
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of (id descending, null ids last; hash of the text), about as many rows in each. `bounds` are ids at which
+    a range ends, ascending; an id that holds more rows than a range has `extra` ranges of its own, cut by the hash."""
+
+    bounds: np.ndarray
+    extra: np.ndarray
+    of_null: int
+
+    @staticmethod
+    def of(cuts: list[float], null_share: float, parts: int) -> Ranges:
+        """From quantiles of the ids, in which an id that holds many rows stands many times."""
+        bounds, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        return Ranges(bounds, np.where(times > 1, times, 0), max(1, math.ceil(null_share * parts)))
+
+    @property
+    def count(self) -> int:
+        return len(self.bounds) + 1 + int(self.extra.sum()) + self.of_null
+
+    def place(self, ids: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each row's range, in order."""
+        above = np.r_[np.cumsum(self.extra[::-1])[::-1], 0]  # ranges of their own of the bounds from here on
+        at = np.searchsorted(self.bounds, ids, side="right")
+        slot = len(self.bounds) - at + above[at]
+        h = hashes.view(np.uint64) ^ np.uint64(1 << 63)  # in the order of the signed numbers
+        share = lambda n: ((h >> np.uint64(32)) * n.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        if len(self.bounds):
+            low = np.maximum(at - 1, 0)
+            own = np.where((at > 0) & (self.bounds[low] == ids), self.extra[low], 0)
+            slot = slot + np.where(own > 0, 1 + share(own), 0)
+        return np.where(null, self.count - self.of_null + share(np.full(len(ids), self.of_null)), slot)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit by the next document in descending order of ids.
 
     One row per document: (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next); null
-    texts count as empty. Rows that repeat an id stand in the order of their texts, rows with a null id come last,
-    and the first document follows the last; a single document follows itself. The table is cut into ranges of ids;
-    each range's first document also goes to the range before it, so texts cross the network once, and no task holds
-    more than a range. Columns other than the two named are not read.
+    texts count as empty. Ids are whole numbers. Rows that repeat an id stand in the order of their texts' XXH64, rows
+    with a null id come last, and the first document follows the last; a single document follows itself. The table is
+    cut into ranges, also within an id that holds many rows; each range's first document also goes to the range before
+    it, so texts cross the network once, and no task holds more than a range. Columns other than the two named are not
+    read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     cuts = rows.approxQuantile("id", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    bounds = np.unique(np.array(cuts, np.int64))
+    counted = rows.agg(F.count("*").alias("n"), F.count("id").alias("known")).first()
+    ranges = Ranges.of(cuts, 1 - counted.known / max(1, counted.n), parts)
 
     @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        """0 for the largest ids; null ids go with the smallest."""
-        place = len(bounds) - np.searchsorted(bounds, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-        return pa.array(place.astype(np.int32))
-
-    dealt = rows.withColumn("part", range_of("id"))
-    tops = dealt.groupBy("part").agg(F.max("id").alias("top")).orderBy("part").collect()  # one row per range
-    before = [(r.part, r.top, tops[k - 1].part) for k, r in enumerate(tops)]
-    first = F.broadcast(spark.createDataFrame(before, "p int, top long, prior int"))
-    copies = F.when(F.col("id").eqNullSafe(F.col("top")), F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("follows")), F.struct(F.col("prior").alias("part"), F.lit(True).alias("follows")))).otherwise(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("follows")))
-    )
-    sent = dealt.join(first, F.col("part") == F.col("p")).select("id", "text", F.explode(copies).alias("c")).select("c.part", "c.follows", "id", "text")
-    placed = sent.repartitionById(len(bounds) + 1, F.col("part"))
-    ordered = placed.sortWithinPartitions("part", "follows", F.col("id").desc_nulls_last(), "text")
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(ranges.place(ids.fill_null(0).to_numpy(zero_copy_only=False), null, hashes.to_numpy(zero_copy_only=False)).astype(np.int32))
+
+    dealt = rows.withColumn("h", F.xxhash64("text")).withColumn("part", range_of("id", "h"))
+    least = F.max(F.struct("id", F.bitwise_not("h").alias("back")))  # the first in order: the largest id, the least hash
+    tops = dealt.groupBy("part").agg(least.alias("top")).orderBy("part").collect()  # one row per range
+    before = [(r.part, r.top.id, ~r.top.back, tops[k - 1].part) for k, r in enumerate(tops)]
+    first = F.broadcast(spark.createDataFrame(before, "p int, top long, top_h long, prior int"))
+    here = F.struct(F.col("part").alias("part"), F.lit(False).alias("follows"))
+    there = F.struct(F.col("prior").alias("part"), F.lit(True).alias("follows"))
+    leads = F.col("id").eqNullSafe(F.col("top")) & (F.col("h") == F.col("top_h"))
+    copies = F.when(leads, F.array(here, there)).otherwise(F.array(here))
+    sent = dealt.join(first, F.col("part") == F.col("p")).select("id", "text", "h", F.explode(copies).alias("c")).select("c.part", "c.follows", "id", "text", "h")
+    placed = sent.repartitionById(ranges.count, F.col("part"))
+    ordered = placed.sortWithinPartitions("part", "follows", F.col("id").desc_nulls_last(), "h", "text")
     got = ordered.mapInArrow(_walk, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return got.withColumnRenamed("id", id_col)

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import order_minhash as O
@@ -117,6 +118,36 @@ def test_kmers_are_numbered_by_occurrence():
         assert len(hashes) == len(want) == len(set(want)) == len(set(hashes.tolist()))
 
 
+MASK = (1 << 64) - 1
+
+
+def mix(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
+    return x ^ x >> 31
+
+
+def plain_fingerprint(text):
+    """Order MinHash from its definition, in whole numbers: each k-mer, with the number of like ones before it, has a
+    hash; a tuple takes the TUPLE least under its own permutation, in the order in which they stand in the text."""
+    hashes = []
+    for gram, before in plain_numbered(text) if text else []:
+        h = 0
+        for ch in gram:
+            h = (h * 0x9E3779B97F4A7C15 + ord(ch)) & MASK
+        hashes.append(mix((mix((h + len(gram)) & MASK) + before * 0xD1B54A32D192ED03) & MASK))
+    draw = np.random.RandomState(20)
+    times, masks = (draw.randint(0, 1 << 32, O.SKETCHES, dtype=np.uint64).tolist() for _ in range(2))
+    out = ""
+    for factor, mask in zip(times, masks, strict=True):
+        order = sorted(range(len(hashes)), key=lambda i: (((hashes[i] >> 32) ^ mask) * (factor | 1) & 0xFFFFFFFF, i))
+        value, chosen = 0x2545F4914F6CDD1D, sorted(order[: O.TUPLE])
+        for i in [-1] * (O.TUPLE - len(chosen)) + chosen:
+            value = mix((value * 0x9E3779B97F4A7C15 + (hashes[i] if i >= 0 else 0)) & MASK)
+        out += f"{value >> 32:08x}" if text else "00000000"
+    return out
+
+
 def test_fingerprints_follow_edits():
     rng = random.Random(2)
     text = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300))
@@ -130,10 +161,11 @@ def test_fingerprints_follow_edits():
 
 def plain_next(rows):
     """rows: (id, text) in any order -> Counter of (id, n_chars, sha of the edit)."""
-    order = sorted(((i is None, -(i or 0), t or "", i) for i, t in rows), key=lambda r: r[:3])
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(((i is None, -(i or 0), signed(t or ""), t or "", i) for i, t in rows), key=lambda r: r[:3])
     out = Counter()
     for k, (*_, t, i) in enumerate(order):
-        after = order[(k + 1) % len(order)][2]
+        after = order[(k + 1) % len(order)][3]
         half = len(t) // 2
         out[i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
     return out
@@ -147,10 +179,32 @@ def test_edits_by_the_next_document(spark):
     texts = dict(rows)
     order = sorted(texts, reverse=True)
     after = dict(zip(order, order[1:] + order[:1], strict=True))
-    for r in got[:40]:
-        mine, edit = O.sketch(texts[r.doc_id]), O.sketch(O.edited_text(texts[r.doc_id], texts[after[r.doc_id]]))
-        assert (r.fingerprint, r.edited_fingerprint) == (O.hex_of(mine), O.hex_of(edit))
-        assert r.near_edited == O.likeness(mine, edit) and r.near_next == O.likeness(mine, O.sketch(texts[after[r.doc_id]]))
+    for r in sorted(got, key=lambda r: r.n_chars)[:25]:
+        mine, follows = texts[r.doc_id][:], texts[after[r.doc_id]]
+        half = len(mine) // 2
+        prints = [plain_fingerprint(x) for x in (mine, mine[: len(mine) - half] + follows[:half], follows)]
+        assert (r.fingerprint, r.edited_fingerprint) == tuple(prints[:2])
+        cut = [[p[k : k + 8] for k in range(0, len(p), 8)] for p in prints]
+        alike = [sum(a == b for a, b in zip(cut[0], other, strict=True)) / O.SKETCHES for other in cut[1:]]
+        assert [r.near_edited, r.near_next] == alike
+
+
+def test_ids_that_hold_many_rows_are_cut(spark):
+    """A third of the rows have one id, a third none: their ranges are cut by the texts' hashes, in order."""
+    rows = [(7, f"seven {k} " * 3) for k in range(120)] + [(None, f"none {k} " * 2) for k in range(120)] + [(k, f"k{k} x") for k in range(60)] + [(7, "same")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in O.with_next(docs).collect()) == plain_next(rows)
+    ids = np.array([i if i is not None else 0 for i, _ in rows])
+    null = np.array([i is None for i, _ in rows])
+    hashes = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for _, t in rows], np.uint64).view(np.int64)
+    cuts = np.quantile(ids[~null], [k / 9 for k in range(1, 9)], method="lower").tolist()
+    ranges = O.Ranges.of(cuts, null.mean(), 9)
+    at = ranges.place(ids, null, hashes)
+    assert at.min() >= 0 and at.max() < ranges.count
+    order = sorted(range(len(rows)), key=lambda k: (null[k], -ids[k], hashes[k]))
+    assert (np.diff(at[order]) >= 0).all()  # ranges follow the order
+    spread = Counter(at[null].tolist()), Counter(at[(ids == 7) & ~null].tolist())
+    assert len(spread[0]) >= 3 and max(spread[0].values()) < 80 and len(spread[1]) >= 3 and max(spread[1].values()) < 100
 
 
 def test_edits_of_awkward_tables(spark):
