@@ -16,16 +16,16 @@ BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"
 _INNER = bytes(range(0x80, 0xC0))
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct")
-#: What conditions are on: shares, so that a text's length alone decides nothing.
+#: What conditions are on: shares (of one statistic in another), so that a text's length alone decides nothing.
 FEATURES = {
-    "symbols_per_char": "n_symbols / greatest(word_chars, 1)",
-    "marks_per_word": "n_marks / greatest(n_words, 1)",
-    "symbols_per_word": "n_symbols / greatest(n_words, 1)",
-    "upper_per_char": "n_upper / greatest(word_chars, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "chars_per_word": "word_chars / greatest(n_words, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
+    "symbols_per_char": ("n_symbols", "word_chars"),
+    "marks_per_word": ("n_marks", "n_words"),
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "upper_per_char": ("n_upper", "word_chars"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "chars_per_word": ("word_chars", "n_words"),
+    "distinct_share": ("n_distinct", "n_words"),
 }
 #: Bounds of the sample that rules are learned from; the rules apply to every whole text.
 FIT_ROWS = 12000
@@ -65,6 +65,12 @@ def statistics_column(text: str | Column = "text") -> Column:
     return text_statistics(utf8(text))
 
 
+def feature(name: str, struct: str | None = None) -> Column:
+    """A feature of STATS, which are columns, or fields of the column `struct`."""
+    part, whole = (F.col(s) if struct is None else F.col(struct)[s] for s in FEATURES[name])
+    return part / F.greatest(whole, F.lit(1))
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -75,8 +81,9 @@ class Condition:
         v = x[:, names.index(self.feature)]
         return v > self.threshold if self.above else v <= self.threshold
 
-    def sql(self) -> str:
-        return f"({FEATURES[self.feature]}) {'>' if self.above else '<='} {self.threshold!r}D"
+    def column(self, struct: str | None = None) -> Column:
+        value = feature(self.feature, struct)
+        return value > F.lit(self.threshold) if self.above else value <= F.lit(self.threshold)
 
 
 @dataclass(frozen=True)
@@ -85,14 +92,15 @@ class DecisionList:
 
     rules: tuple[tuple[Condition, ...], ...]
 
-    def rule_column(self, prefix: str = "") -> Column:
+    def rule_column(self, struct: str | None = None) -> Column:
         """The number (from 1) of the first rule that holds, else 0, as one ordered conditional expression."""
-        if not self.rules:
-            return F.lit(0)
-        cases = " ".join(f"WHEN {' AND '.join(c.sql() for c in rule)} THEN {k}" for k, rule in enumerate(self.rules, 1))
-        for s in STATS if prefix else ():
-            cases = cases.replace(f"{s} ", f"{prefix}.{s} ").replace(f"({s},", f"({prefix}.{s},")
-        return F.expr(f"CASE {cases} ELSE 0 END")
+        out = F.lit(0)
+        for k, rule in reversed(list(enumerate(self.rules, 1))):
+            holds = rule[0].column(struct)
+            for c in rule[1:]:
+                holds = holds & c.column(struct)
+            out = F.when(holds, k).otherwise(out)
+        return out
 
     def __str__(self) -> str:
         return "\n".join(" and ".join(f"{c.feature} {'>' if c.above else '<='} {c.threshold:.4g}" for c in r) for r in self.rules)
@@ -152,7 +160,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_
     """Learn from the statistics of a bounded labelled sample; label 0 is bad. No labels, or one class: no rules."""
     sample = labelled_sample(docs, labels, label_col, FIT_ROWS, FIT_TEXT_BYTES, held_out, id_col, text_col)
     stats = sample.select("id", "label", statistics_column("data").alias("s")).select("id", "label", "s.*")
-    rows = stats.select("id", "label", *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items())).toPandas().sort_values("id")
+    rows = stats.select("id", "label", *(feature(n).cast("double").alias(n) for n in FEATURES)).toPandas().sort_values("id")
     return learn(rows[list(FEATURES)].to_numpy(float), (rows["label"] == 0).to_numpy(), list(FEATURES))
 
 

@@ -1,9 +1,13 @@
+import zlib
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from quern.llm import simhash
+from quern.llm import compression_quality, decision_list, mixing, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,6 +31,132 @@ def test_stages_keep_columns_and_decide(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in before.collect()}
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def first_of_each(texts):
+    """{id: text} -> the ids that stay: the least of each group that links of 0.8 make."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {i for i in ids if root[i] == i}
+
+
+def test_run_against_brute_force(spark):
+    """The whole pipeline on a whole table: every stage by plain code over what the one before it kept."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    model, rules = compression_quality.fit_on(docs, labels), decision_list.fit_on(docs, labels)
+    good = {i: t for i, t in texts.items() if model.score((t or "").encode()) >= 0.5}
+    clean = {}
+    for i, t in good.items():
+        stats = dict(zip(decision_list.STATS, decision_list.statistics((t or "").encode()), strict=True))
+        value = {n: stats[part] / max(stats[whole], 1) for n, (part, whole) in decision_list.FEATURES.items()}
+        hit = any(all(value[c.feature] > c.threshold if c.above else value[c.feature] <= c.threshold for c in rule) for rule in rules.rules)
+        if stats["n_words"] >= 50 and 100 * stats["n_repeat_words"] <= 50 * stats["n_words"] and not hit:
+            clean[i] = t
+    kept = {i: clean[i] for i in first_of_each(clean)}
+    assert len(texts) > len(good) > len(clean) > len(kept) > 0
+    tokens = Counter()
+    for i, t in kept.items():
+        tokens[source[i]] += len((t or "").encode().split())
+    plan = {r.s: r for r in mixing.planned(spark.createDataFrame(list(tokens.items()), "s string, n long")).collect()}
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for i, t in kept.items():
+        got = [*ids.encode(t or "", add_special_tokens=False).ids, 0]
+        first = len(got) % 2048 or 2048
+        starts = [0, *range(first, len(got), 2048)] if len(got) > 2048 else [0]
+        pieces[i] = {(k, s, e - s, zlib.crc32(np.array(got[s:e], "<u4").tobytes())) for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(got)], strict=True))}
+    rows = C.run(spark, DATA).collect()
+    times = Counter((r.doc_id, r.piece) for r in rows)
+    assert {i for i, _ in times} == set(kept)
+    assert all((r.piece, r.start, r.length, r.ids_crc32) in pieces[r.doc_id] for r in rows)
+    for i in kept:
+        counts = {times[i, k] for k, *_ in pieces[i]}
+        assert len(counts) == 1 and counts.pop() - plan[source[i]].epochs in (0, 1)
+    used = Counter()
+    for (i, k), n in times.items():
+        used[source[i]] += n * len((kept[i] or "").encode().split()) if k == 0 else 0
+    longest = max(len((t or "").encode().split()) for t in kept.values())
+    assert all(plan[s].budget - longest <= used[s] <= plan[s].budget for s in plan)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+LONG = " ".join(f"w{k % 4999}x{k}" for k in range(60_000))
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "one two three"), (5, LONG), (5, LONG), (6, LONG + " and more"), (7, "a b c d e f " * 40), (None, LONG), (8, " ".join(f"é{k}ß" for k in range(80)))]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in C.STAGES], ids=[n for n, _ in C.STAGES])
+def test_stages_on_awkward_tables(spark, stage):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table, columns with names that stages
+    use themselves."""
+    extra = "mix_tokens long, mark string, compression_score double, text_stats string, node long, piece string, score double, band long"
+    docs = spark.createDataFrame([(i, t, None, s, None, 1, "m", 0.5, "s", None, "p", 0.1, 3) for k, (i, t) in enumerate(ODD) for s in [None if k % 3 else "src"]], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    out = stage(spark, docs, DATA)
+    rows = out.collect()
+    if stage is C.pack:
+        assert {r.doc_id for r in rows} == {i for i, _ in ODD} and sum(r.piece == 0 for r in rows) == len(ODD)
+    else:
+        assert out.columns == docs.columns and {tuple(r) for r in rows} <= {tuple(r) for r in docs.collect()}
+    if stage is C.near_dedup:  # null, empty and blank texts are one group; the long one and its extension another
+        assert sorted((r.doc_id is None, r.doc_id) for r in rows) == [(False, 1), (False, 4), (False, 5), (False, 7), (False, 8), (True, None)]
+    if stage is C.quality_rules:  # few words, or one phrase over and over
+        assert {r.doc_id for r in rows} <= {5, 6, 8, None}
+    if stage is C.mix_sources:
+        assert {r.doc_id for r in rows} == {i for i, _ in ODD}
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_a_crowd_of_half_similar_texts_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with a few to most words changed: the pairs across components stay few, and no link is lost."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(150)]
+    texts = {0: " ".join(base)}
+    for k in range(1, 300):
+        copy = list(base)
+        for p in rng.sample(range(150), rng.choice((1, 2, 3, 4, 5, 6, 8, 10, 14, 20, 40))):
+            copy[p] = f"new{rng.getrandbits(40)}"
+        texts[k] = " ".join(copy)
+    made, real = [], simhash._confirmed
+
+    def counted(pairs, *rest):
+        made.append(pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct().count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_confirmed", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == first_of_each(texts)
+    print("pairs by round", made)
+    assert made[0] < 24 * 300 and sum(made[1:]) < 2 * 300
+
+
 @pytest.mark.parametrize("similar", [True, False])
 def test_near_copies_meet_and_others_do_not(spark, similar):
     import random
