@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -247,7 +248,7 @@ class Circuit:
             raise P.PlanError(f"{e.name} reached no fixpoint within {e.max_rounds} rounds")
 
         value = trace.read()
-        removed = any(not signed(d, -1).df.isEmpty() for d in (start, *step.change.values()))
+        removed = bool(trace.batches) and any(not signed(d, -1).df.isEmpty() for d in (start, *step.change.values()))
         gone = closure(caused(-1, value.distinct()), before, lambda z: z.intersect(value)) if removed else trace.empty
         new = caused(1, _minus(value, gone) if removed else value.distinct())
         if removed:
@@ -281,7 +282,9 @@ class Circuit:
             step.come["input", n] = self.traces["input", n], d
 
         def publish(batch: int | None) -> None:
-            now = {**self.traces, **{p: t.appended(d) for p, (t, d) in step.come.items()}}
+            with ThreadPoolExecutor(8) as pool:  # traces don't depend on each other
+                grown = list(pool.map(lambda x: x[0].appended(x[1]), step.come.values()))
+            now = {**self.traces, **dict(zip(step.come, grown, strict=True))}
             if self.state_dir:
                 self._persist(now, self.steps + 1, batch if batch is not None else self.batch)
             self.traces, self.steps, self.batch = now, self.steps + 1, batch if batch is not None else self.batch
@@ -378,6 +381,8 @@ def _held(trace: Trace, step: _Step, *of: object) -> ZSet:
     """The rows that a trace holds under the keys of some rows: of its buckets, which are few for few keys. `of` is rows
     and the expressions of their keys, in turn; None: the trace's own."""
     keys, touched = None, set()
+    if not trace.batches:
+        return trace.empty
     for z, by in zip(of[::2], of[1::2], strict=True):
         by = trace.key if by is None else by
         if not by:
