@@ -21,10 +21,12 @@ together; then all pairs that still lie across components are held against the s
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,14 +217,6 @@ def minima_udf(width: int, text_col: str) -> Column:
     return signed(utf8(text_col))
 
 
-def _shingle_set(width: int):
-    @F.arrow_udf("binary")
-    def shingle_set(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts.to_pylist()], pa.binary())
-
-    return shingle_set(utf8("text_of_simhash"))
-
-
 def _shingle_longs(width: int):
     @F.arrow_udf("array<bigint>")
     def shingle_longs(texts: pa.Array) -> pa.Array:
@@ -233,9 +227,9 @@ def _shingle_longs(width: int):
     return shingle_longs(utf8("text_of_simhash"))
 
 
-def jaccard(one: bytes, two: bytes) -> float:
+def jaccard(one: np.ndarray, two: np.ndarray) -> float:
     """Of two sorted sets of longs; two empty ones are alike."""
-    both = np.sort(np.concatenate([np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)]))
+    both = np.sort(np.concatenate([one, two]))
     common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common / (len(both) - common) if len(both) else 1.0
 
@@ -243,21 +237,28 @@ def jaccard(one: bytes, two: bytes) -> float:
 def _jaccard(one: str, two: str) -> Column:
     @F.arrow_udf("double")
     def of_sets(one: pa.Array, two: pa.Array) -> pa.Array:
-        return pa.array([jaccard(a.as_buffer(), b.as_buffer()) for a, b in zip(one, two, strict=True)], pa.float64())
+        sets = [np.split(x.flatten().to_numpy(), np.cumsum(pc.list_value_length(x).to_numpy())[:-1]) if len(x) else [] for x in (one, two)]
+        return pa.array([jaccard(a, b) for a, b in zip(*sets, strict=True)], pa.float64())
 
     return of_sets(F.col(one), F.col(two))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles are as similar as asked; texts: (node, text_of_simhash)."""
+def _sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the sorted set of each of `nodes` (node), made once from any of its texts."""
+    needed = nodes.select(F.col("node").alias("needed")).distinct()
+    one_each = texts.join(needed, F.col("node") == F.col("needed"), "left_semi").dropDuplicates(["node"])
+    return materialise(one_each.select("node", _shingle_longs(width).alias("shingles")), "shingles")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are as similar as asked."""
     asked = materialise(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     nodes = asked.select(F.explode(F.array("a", "b")).alias("needed")).distinct()
-    one_each = texts.join(nodes, F.col("node") == F.col("needed"), "left_semi").dropDuplicates(["node"])
-    sets = materialise(one_each.select("node", _shingle_set(width).alias("shingles")), "shingles")
-    one, two = (sets.select(F.col("node").alias(f"node_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    few = materialise(sets.join(nodes, F.col("node") == F.col("needed"), "left_semi"), "shingles")
+    one, two = (few.select(F.col("node").alias(f"node_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     held = asked.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
     out = materialise(held.filter(_jaccard("set_a", "set_b") >= similarity).select("a", "b"), "similar")
-    discard(sets)
+    discard(few)
     return out
 
 
@@ -268,16 +269,17 @@ def _bound(n_a: np.ndarray, own_a: np.ndarray, n_b: np.ndarray, own_b: np.ndarra
 
 
 def _across(rows: Iterator[pa.RecordBatch], similarity: float, likeliest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of one bucket and different components that can be similar; rows (band, component, node, n, own and
-    the sketch's three longs) come sorted by band and component. With `likeliest`, each component of a bucket gives the
-    pair whose sketches differ least. One bucket is held at a time."""
+    """Pairs (a, b) of one bucket and different components that can be similar; rows (band, component, node, n, own,
+    the sketch's three longs, all bands of the node) come sorted by band and component. A pair comes from the first band
+    that both share only. With `likeliest`, each component of a bucket gives the pair whose sketches differ least. One
+    bucket is held at a time."""
     kept: list[np.ndarray] = []
 
     def pair_up(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def near(bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        component, node, n, own, sketch = bucket[1], bucket[2], bucket[3], bucket[4], bucket[5:].view(np.uint64)
+        component, node, n, own, sketch, bands = bucket[1], bucket[2], bucket[3], bucket[4], bucket[5:8].view(np.uint64), bucket[8:]
         ends = np.flatnonzero(np.r_[component[1:] != component[:-1], True]) + 1
         starts = np.r_[0, ends[:-1]]
         best = np.full(len(ends), 1 << 20)
@@ -292,7 +294,10 @@ def _across(rows: Iterator[pa.RecordBatch], similarity: float, likeliest: bool)
                 if not len(met):
                     continue
                 if not likeliest:
-                    yield pair_up(np.full(len(met), node[i]), node[met])
+                    shared = bands[:, met] == bands[:, i, None]
+                    met = met[bands[shared.argmax(axis=0), i] == bucket[0, 0]]
+                    if len(met):
+                        yield pair_up(np.full(len(met), node[i]), node[met])
                     continue
                 places = places[met - end]
                 least = int(places.argmin())
@@ -314,7 +319,8 @@ def _across(rows: Iterator[pa.RecordBatch], similarity: float, likeliest: bool)
     for batch in rows:
         if not batch.num_rows:
             continue
-        part = np.stack([batch.column(k).to_numpy() for k in range(8)])
+        own_bands = batch.column(8).flatten().to_numpy().reshape(batch.num_rows, -1).T
+        part = np.concatenate([np.stack([batch.column(k).to_numpy() for k in range(8)]), own_bands])
         if kept and part[0, -1] == kept[0][0, 0]:
             kept.append(part)
             continue
@@ -344,18 +350,17 @@ def _in_components(placed: DataFrame, links: DataFrame) -> DataFrame:
     return out.select(*(F.coalesce("now", "component").alias("component") if c == "component" else F.col(c) for c in placed.columns))
 
 
-def _with_own(placed: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def _with_own(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """`placed` with n and own, the size of each node's set of shingles and how many of them no other node here has,
     without the nodes that so many make unlike all others."""
     nodes = placed.select(F.col("node").alias("needed")).distinct()
-    one_each = texts.join(nodes, F.col("node") == F.col("needed"), "left_semi").dropDuplicates(["node"])
-    sets = materialise(one_each.select("node", _shingle_longs(width).alias("shingles")), "shingles")
-    held = sets.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("of"), F.max("node").alias("last"))
+    mine = materialise(sets.join(nodes, F.col("node") == F.col("needed"), "left_semi"), "shingles")
+    held = mine.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("of"), F.max("node").alias("last"))
     own = held.filter("of = last").groupBy("of").agg(F.count("*").alias("own"))
-    counted = sets.select("node", F.size("shingles").cast("long").alias("n")).join(own, F.col("of") == F.col("node"), "left")
-    able = materialise(counted.select(F.col("node").alias("m"), "n", F.coalesce("own", F.lit(0)).alias("own")).filter(F.col("n") - F.col("own") >= F.col("n") * (similarity - 1e-9)), "able")
-    out = materialise(placed.join(able, F.col("m") == F.col("node")).select("band", "component", "node", "n", "own", "s0", "s1", "s2"), "placed")
-    discard(sets)
+    counted = mine.select("node", F.size("shingles").cast("long").alias("n")).join(own, F.col("of") == F.col("node"), "left")
+    able = counted.select(F.col("node").alias("m"), "n", F.coalesce("own", F.lit(0)).alias("own")).filter(F.col("n") - F.col("own") >= F.col("n") * (similarity - 1e-9))
+    out = materialise(placed.join(able, F.col("m") == F.col("node")).select("band", "component", "node", "n", "own", "s0", "s1", "s2", "bands"), "placed")
+    discard(mine)
     return out
 
 
@@ -372,22 +377,23 @@ def similar_links(marked: DataFrame, width: int, similarity: float) -> DataFrame
     seen = stars.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
     differ = [F.col("sketch_a")[j].bitwiseXOR(F.col("sketch_b")[j]) for j in range(3)]
     places = sum((F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(_EVEN))) for d in differ), F.lit(0))
-    first = _confirmed(seen.filter(places <= SKETCH_DIFFER).select("a", "b"), texts, width, similarity)
+    sets = _sets_of(texts, met, width)
+    first = _confirmed(seen.filter(places <= SKETCH_DIFFER).select("a", "b"), sets, similarity)
     known = connected_components(first).withColumnRenamed("node", "of")
     member = sketches.join(known, F.col("of") == F.col("node"), "left").select(
-        F.col("node").alias("n"), F.coalesce("root", "node").alias("component"), *(F.col("sketch")[j].alias(f"s{j}") for j in range(3))
+        F.col("node").alias("n"), F.coalesce("root", "node").alias("component"), *(F.col("sketch")[j].alias(f"s{j}") for j in range(3)), "bands"
     )
-    placed = materialise(_mixed(met.join(member, F.col("n") == F.col("node")).select("band", "component", "node", "s0", "s1", "s2")), "placed")
-    able = _with_own(placed, texts, width, similarity)
+    placed = materialise(_mixed(met.join(member, F.col("n") == F.col("node")).select("band", "component", "node", "s0", "s1", "s2", "bands")), "placed")
+    able = _with_own(placed, sets, similarity)
     found = [first]
-    for likeliest in (True, False):
+    for likeliest in (True, True, False):
         across = lambda rows, likeliest=likeliest: _across(rows, similarity, likeliest)
         open_ = _mixed(able).repartition("band").sortWithinPartitions("band", "component")
-        found.append(_confirmed(open_.mapInArrow(across, "a bigint, b bigint"), texts, width, similarity))
+        found.append(_confirmed(open_.mapInArrow(across, "a bigint, b bigint"), sets, similarity))
         able = _in_components(able, found[-1]) if likeliest else able
-    for done in (met, placed, sketches):
+    for done in (met, placed, sketches, sets):
         discard(done)
-    return found[0].unionAll(found[1]).unionAll(found[2])
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def test_a_crowd_of_half_similar_texts_makes_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == first_of_each(texts)
     print("pairs by round", made)
-    assert made[0] < 24 * 300 and sum(made[1:]) < 2 * 300
+    assert made[0] < 24 * 300 and sum(made[1:]) < 0.03 * 300 * 299 / 2  # of all pairs
 
 
 @pytest.mark.parametrize("similar", [True, False])
