@@ -244,9 +244,10 @@ def _jaccard(one: str, two: str) -> Column:
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the sorted set of each of `nodes` (node), made once from any of its texts."""
+    """(node, shingles): the sorted set of each of `nodes` (node), made once from any of its texts. Here and below joins
+    with wide rows are sort-merge joins at every size, so that what they move grows with the input and no faster."""
     needed = nodes.select(F.col("node").alias("needed")).distinct()
-    one_each = texts.join(needed, F.col("node") == F.col("needed"), "left_semi").dropDuplicates(["node"])
+    one_each = texts.join(needed.hint("merge"), F.col("node") == F.col("needed"), "left_semi").dropDuplicates(["node"])
     return materialise(one_each.select("node", _shingle_longs(width).alias("shingles")), "shingles")
 
 
@@ -254,7 +255,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     """The pairs (a, b) of nodes whose sets of shingles are as similar as asked."""
     asked = materialise(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     nodes = asked.select(F.explode(F.array("a", "b")).alias("needed")).distinct()
-    few = materialise(sets.join(nodes, F.col("node") == F.col("needed"), "left_semi"), "shingles")
+    few = materialise(sets.join(nodes.hint("merge"), F.col("node") == F.col("needed"), "left_semi"), "shingles")
     one, two = (few.select(F.col("node").alias(f"node_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     held = asked.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
     out = materialise(held.filter(_jaccard("set_a", "set_b") >= similarity).select("a", "b"), "similar")
@@ -354,7 +355,7 @@ def _with_own(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     """`placed` with n and own, the size of each node's set of shingles and how many of them no other node here has,
     without the nodes that so many make unlike all others."""
     nodes = placed.select(F.col("node").alias("needed")).distinct()
-    mine = materialise(sets.join(nodes, F.col("node") == F.col("needed"), "left_semi"), "shingles")
+    mine = materialise(sets.join(nodes.hint("merge"), F.col("node") == F.col("needed"), "left_semi"), "shingles")
     held = mine.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("of"), F.max("node").alias("last"))
     own = held.filter("of = last").groupBy("of").agg(F.count("*").alias("own"))
     counted = mine.select("node", F.size("shingles").cast("long").alias("n")).join(own, F.col("of") == F.col("node"), "left")
@@ -443,5 +444,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rooted = nodes.join(known, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("first"))
     lead = materialise(rooted.select(F.col("first.id").alias("lead_id"), F.col("first.node").alias("lead_node")), "leads")
     mine = marked.select(F.col(mark).alias(mark), F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
-    stay = mine.join(lead, (F.col("id") == F.col("lead_id")) & (F.col(f"{mark}.node") == F.col("lead_node"))).dropDuplicates(["lead_id", "lead_node"])
+    stay = mine.join(lead.hint("merge"), (F.col("id") == F.col("lead_id")) & (F.col(f"{mark}.node") == F.col("lead_node"))).dropDuplicates(["lead_id", "lead_node"])
     return stay.select("row.*").unionByName(marked.filter(F.col(id_col).isNull()).select(docs.columns))
