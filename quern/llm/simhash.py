@@ -7,21 +7,18 @@ away, so a half that differs from it in one bit is within radius plus threshold,
 fingerprint is therefore replicated to all anchors within 2 bits of each half (17 at most), and every home is compared
 with what its anchor has gathered: no pair is lost, and pairs come from anchors, never from all rows.
 
-`keep_one` asks for a similarity instead of 3 bits: texts whose sets of 5-word shingles have a Jaccard index of 0.8.
-Such texts differ in a sixth of a fingerprint's bits, too many for anchors, so candidates come from BANDS bands of
+`keep_one` asks for a similarity of the texts' sets of 5-word shingles, a Jaccard index of 0.8. Fingerprints of these
+shingles are linked through the anchors as above, and every link is held against the exact sets. Texts that are just as
+similar as asked differ in a sixth of a fingerprint's bits, too many for anchors, so the rest comes from BANDS bands of
 BAND_ROWS minima of the set under hash functions: two texts at exactly 0.8 share no band in (1 - 0.8^4)^24 = 3.2e-6 of
-all cases, and in fewer above. Every candidate is then held against the exact sets, and only links that this has
-confirmed make a comparison needless. Each member of a band's bucket is compared with the bucket's least node first.
-Buckets that still hold several components are then searched for pairs across them. Exact bounds keep that from growing
-with the square of a group of half-similar texts: a shingle that no other of these texts has is in no intersection, so
-a text of n shingles, u of them its own, has at most n - u in common with any other, and a text with u > 0.2 n has no
-partner at all. Of the pairs that remain each component sends its likeliest to another one, which joins what belongs
-together; then all pairs that still lie across components are held against the sets.
+all cases, and in fewer above. Each node of a band's bucket is held against the likeliest of its buckets' least nodes,
+unless the anchors have joined them. Buckets that still hold several components are searched whole: in one task their
+sets are held against each other, exactly, until no pair across components is left. Such pairs are counted where the
+sets are and never become rows, so the rows of a group of half-similar texts grow with its size and not its square.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +35,10 @@ THRESHOLD = 3
 #: For similarity: bands, and minima in each.
 BANDS, BAND_ROWS = 24, 4
 #: Two bits of each minimum are a text's sketch. Texts at 0.8 differ in 0.15 of its 96 places on average, and in more
-#: than this many with a chance below 1e-7; pairs beyond it are not held against the exact sets.
+#: than this many with a chance below 1e-7; a bucket's least node is tried up to here, the search of buckets tries all.
 SKETCH_DIFFER = 36
+#: Elements of posting lists that the search of a bucket adds up at once.
+POSTINGS = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
 _FLIPS, _FACTORS = _SEEDS[0] * _GOLDEN, _SEEDS[1] * np.uint64(2) + np.uint64(1)
@@ -197,13 +196,15 @@ def _longs(rows: np.ndarray) -> pa.ListArray:
 
 
 def minima_udf(width: int, text_col: str) -> Column:
-    """A column of structs: node, which names the set of shingles, its bands, and its sketch."""
-    @F.arrow_udf("struct<node bigint, bands array<bigint>, sketch array<bigint>>")
+    """A column of structs: node, which names the set of shingles, the text's fingerprint, the set's bands and sketch."""
+    @F.arrow_udf("struct<node bigint, fp bigint, bands array<bigint>, sketch array<bigint>>")
     def signed(texts: pa.Array) -> pa.Array:
-        node = np.zeros(len(texts), np.uint64)
+        node, fp = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
         least = np.zeros((len(texts), BANDS * BAND_ROWS), np.uint64)
         for k, t in enumerate(texts.to_pylist()):
-            h = np.unique(shingle_hashes(t, width))
+            every = shingle_hashes(t, width)
+            fp[k] = majority(every)
+            h = np.unique(every)
             node[k] = xxhash.xxh64_intdigest(h.tobytes(), 7)
             least[k] = minima(h)
         bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(node), BANDS)) * _GOLDEN
@@ -212,7 +213,7 @@ def minima_udf(width: int, text_col: str) -> Column:
             bands ^= bands >> np.uint64(29)
         places = (least >> np.uint64(20) & np.uint64(3)).reshape(len(node), 3, 32) << np.arange(0, 64, 2, dtype=np.uint64)
         sketch = np.bitwise_or.reduce(places, axis=2)
-        return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), _longs(bands), _longs(sketch)], ["node", "bands", "sketch"])
+        return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), _longs(bands), _longs(sketch)], ["node", "fp", "bands", "sketch"])
 
     return signed(utf8(text_col))
 
@@ -263,75 +264,94 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return out
 
 
-def _bound(n_a: np.ndarray, own_a: np.ndarray, n_b: np.ndarray, own_b: np.ndarray) -> np.ndarray:
-    """The largest Jaccard index that sets of these sizes can have, given how many elements no other set has."""
-    common = np.minimum(n_a - own_a, n_b - own_b)
-    return common / np.maximum(n_a + n_b - common, 1)
-
-
-def _across(rows: Iterator[pa.RecordBatch], similarity: float, likeliest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of one bucket and different components that can be similar; rows (band, component, node, n, own,
-    the sketch's three longs, all bands of the node) come sorted by band and component. A pair comes from the first band
-    that both share only. With `likeliest`, each component of a bucket gives the pair whose sketches differ least. One
-    bucket is held at a time."""
-    kept: list[np.ndarray] = []
+def _near_prints(sketches: DataFrame) -> DataFrame:
+    """(a, b): links between the nodes of `sketches` (node, fp) by their fingerprints: those of one fingerprint hang
+    from its least node, and least nodes link where the anchors link their fingerprints."""
+    leads = materialise(sketches.groupBy(F.col("fp").alias("of_fp")).agg(F.min("node").alias("lead")), "prints")
+    same = sketches.join(leads, F.col("fp") == F.col("of_fp")).filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    one, two = (leads.select(F.col("of_fp").alias(f"fp_{x}"), F.col("lead").alias(f"lead_{x}")) for x in "ab")
+    met = links(leads.select(F.col("of_fp").alias("fp")))
+    far = met.join(one, F.col("a") == F.col("fp_a")).join(two, F.col("b") == F.col("fp_b"))
+    return materialise(same.unionAll(far.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))), "near-prints")
+
+
+def _bucket_links(component: np.ndarray, node: np.ndarray, sizes: np.ndarray, flat: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (a, b) that join the components of one bucket wherever two of its sets are as similar as asked. The sets
+    are `sizes` elements each of `flat`. Overlaps are counted exactly, through lists of the sets that hold an element;
+    elements of one set only are in no overlap and bound it."""
+    _, of, times = np.unique(component, return_inverse=True, return_counts=True)
+    # each pair across components has a member outside the largest, which comes last and is never gone through
+    order = np.argsort(of == times.argmax(), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    root, node, sizes, outside = of[order], node[order], sizes[order], len(order) - int(times.max())
+    _, element, held = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(rank, sizes[rank])
+    shared = held[element] > 1
+    row, element = row[shared], element[shared]
+    common_at_most = np.bincount(row, minlength=len(node))
+    by_row = np.argsort(row, kind="stable")
+    elements, row_ends = element[by_row], common_at_most.cumsum()
+    by_element = np.lexsort((row, element))
+    holders, starts = row[by_element], np.searchsorted(element[by_element], np.arange(len(held) + 1))
+    able = common_at_most >= similarity * sizes - 1e-9
+    found_a, found_b = [], []
+    for i in np.flatnonzero(able[:outside]).tolist():
+        most = np.minimum(common_at_most[i], common_at_most[i + 1 :])
+        open_ = able[i + 1 :] & (root[i + 1 :] != root[i]) & (most >= similarity * (sizes[i] + sizes[i + 1 :] - most) - 1e-6)
+        if not open_.any():
+            continue
+        mine = elements[row_ends[i] - common_at_most[i] : row_ends[i]]
+        from_, long_ = starts[mine], starts[mine + 1] - starts[mine]
+        common = np.zeros(len(node), np.int64)
+        for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(long_.cumsum() // POSTINGS)) + 1):
+            n = long_[part]
+            at = np.repeat(from_[part] - n.cumsum() + n, n) + np.arange(int(n.sum()))
+            common += np.bincount(holders[at], minlength=len(node))
+        both = common[i + 1 :]
+        for j in (np.flatnonzero(open_ & (both / np.maximum(sizes[i] + sizes[i + 1 :] - both, 1) >= similarity)) + i + 1).tolist():
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                found_a.append(int(node[i]))
+                found_b.append(int(node[j]))
+    return found_a, found_b
+
+
+def _across(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of all buckets; rows (band, component, node, shingles) come sorted by band. One bucket is held
+    at a time."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    of_kept, found_a, found_b = None, [], []
 
-    def pair_up(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def close() -> None:
+        if kept:
+            a, b = _bucket_links(*(np.concatenate(x) for x in zip(*kept, strict=True)), similarity)
+            found_a.extend(a)
+            found_b.extend(b)
+            kept.clear()
 
-    def near(bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        component, node, n, own, sketch, bands = bucket[1], bucket[2], bucket[3], bucket[4], bucket[5:8].view(np.uint64), bucket[8:]
-        ends = np.flatnonzero(np.r_[component[1:] != component[:-1], True]) + 1
-        starts = np.r_[0, ends[:-1]]
-        best = np.full(len(ends), 1 << 20)
-        pick = np.full((len(ends), 2), -1)
-        of = np.repeat(np.arange(len(ends)), ends - starts)
-        for k, (start, end) in enumerate(zip(starts[:-1].tolist(), ends[:-1].tolist(), strict=True)):
-            for i in range(start, end):
-                differ = sketch[:, end:] ^ sketch[:, i, None]
-                places = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(_EVEN)).sum(axis=0).astype(np.int64)
-                able = (places <= SKETCH_DIFFER) & (_bound(n[i], own[i], n[end:], own[end:]) >= similarity - 1e-9)
-                met = np.flatnonzero(able) + end
-                if not len(met):
-                    continue
-                if not likeliest:
-                    shared = bands[:, met] == bands[:, i, None]
-                    met = met[bands[shared.argmax(axis=0), i] == bucket[0, 0]]
-                    if len(met):
-                        yield pair_up(np.full(len(met), node[i]), node[met])
-                    continue
-                places = places[met - end]
-                least = int(places.argmin())
-                if places[least] < best[k]:
-                    best[k], pick[k] = places[least], (i, met[least])
-                order = np.lexsort((places, of[met]))
-                first = order[np.r_[True, of[met][order][1:] != of[met][order][:-1]]]
-                better = first[places[first] < best[of[met[first]]]]
-                best[of[met[better]]] = places[better]
-                pick[of[met[better]]] = np.stack([np.full(len(better), i), met[better]], axis=1)
-        if likeliest and (found := np.unique(pick[pick[:, 0] >= 0], axis=0)).size:
-            yield pair_up(node[found[:, 0]], node[found[:, 1]])
-
-    def buckets(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero(part[0, 1:] != part[0, :-1]) + 1
-        for bucket in np.split(part, cuts, axis=1):
-            yield from near(bucket)
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+        found_a.clear()
+        found_b.clear()
+        return batch
 
     for batch in rows:
         if not batch.num_rows:
             continue
-        own_bands = batch.column(8).flatten().to_numpy().reshape(batch.num_rows, -1).T
-        part = np.concatenate([np.stack([batch.column(k).to_numpy() for k in range(8)]), own_bands])
-        if kept and part[0, -1] == kept[0][0, 0]:
-            kept.append(part)
-            continue
-        whole = np.concatenate([*kept, part], axis=1)
-        last = int(np.flatnonzero(whole[0] != whole[0, -1])[-1]) + 1 if (whole[0] != whole[0, -1]).any() else 0
-        if last:
-            yield from buckets(whole[:, :last])
-        kept = [whole[:, last:]]
-    if kept:
-        yield from buckets(np.concatenate(kept, axis=1))
+        band, component, node = (batch.column(k).to_numpy() for k in range(3))
+        sizes, flat = pc.list_value_length(batch.column(3)).to_numpy().astype(np.int64), batch.column(3).flatten().to_numpy()
+        ends = np.r_[0, sizes.cumsum()]
+        cuts = np.flatnonzero(band[1:] != band[:-1]) + 1
+        for start, end in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(band)].tolist(), strict=True):
+            if of_kept != band[start]:
+                close()
+                of_kept = band[start]
+            kept.append((component[start:end], node[start:end], sizes[start:end], flat[ends[start] : ends[end]]))
+        if found_a:
+            yield out()
+    close()
+    yield out()
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -340,61 +360,40 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(several, F.col("band") == F.col("of_band"), "left_semi")
 
 
-def _in_components(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """`placed` with its components joined by links between nodes."""
-    known = connected_components(links).select(F.col("node").alias("of"), "root")
-    names = placed.select("node", "component").distinct().join(known, F.col("of") == F.col("node"), "left")
-    # nodes keep their components: what is joined is the components that linked nodes have
-    through = names.filter("root is not null").select(F.col("component").alias("a"), F.col("root").alias("b"))
-    joined = connected_components(through).select(F.col("node").alias("was"), F.col("root").alias("now"))
-    out = placed.join(joined, F.col("component") == F.col("was"), "left")
-    return out.select(*(F.coalesce("now", "component").alias("component") if c == "component" else F.col(c) for c in placed.columns))
-
-
-def _with_own(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """`placed` with n and own, the size of each node's set of shingles and how many of them no other node here has,
-    without the nodes that so many make unlike all others."""
-    nodes = placed.select(F.col("node").alias("needed")).distinct()
-    mine = materialise(sets.join(nodes.hint("merge"), F.col("node") == F.col("needed"), "left_semi"), "shingles")
-    held = mine.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("of"), F.max("node").alias("last"))
-    own = held.filter("of = last").groupBy("of").agg(F.count("*").alias("own"))
-    counted = mine.select("node", F.size("shingles").cast("long").alias("n")).join(own, F.col("of") == F.col("node"), "left")
-    able = counted.select(F.col("node").alias("m"), "n", F.coalesce("own", F.lit(0)).alias("own")).filter(F.col("n") - F.col("own") >= F.col("n") * (similarity - 1e-9))
-    out = materialise(placed.join(able, F.col("m") == F.col("node")).select("band", "component", "node", "n", "own", "s0", "s1", "s2", "bands"), "placed")
-    discard(mine)
-    return out
+def _in_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`nodes` with a column component: the least node that links (a, b) reach."""
+    known = connected_components(edges).withColumnRenamed("node", "of")
+    return nodes.join(known, F.col("of") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "node").alias("component"))
 
 
 def similar_links(marked: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): links between the nodes of `marked` (text_of_simhash, node, bands, sketch) whose sets of shingles have a
-    Jaccard index of `similarity` or more, enough of them to connect every component of the candidates."""
+    """(a, b): links between the nodes of `marked` (text_of_simhash, node, fp, bands, sketch) whose sets of shingles have
+    a Jaccard index of `similarity` or more, enough of them to connect every component of the candidates."""
     texts = marked.select("node", "text_of_simhash")
-    sketches = materialise(marked.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sketches")
+    marks = (F.min("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    sketches = materialise(marked.groupBy("node").agg(*marks), "sketches")
     dealt = sketches.select("node", F.explode("bands").alias("band"))
     leads = dealt.groupBy(F.col("band").alias("of_band")).agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
     met = materialise(dealt.join(leads, F.col("band") == F.col("of_band")).select("band", "node", "lead"), "bands")
-    one, two = (sketches.select(F.col("node").alias(f"node_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    close = _near_prints(sketches.select("node", "fp"))
+    sets = _sets_of(texts, met.select("node").unionAll(close.select("a")).unionAll(close.select("b")), width)
+    near = _confirmed(close, sets, similarity)
+    joined = materialise(_in_components(sketches.select("node", "sketch"), near), "joined")
+    one, two = (joined.select(*(F.col(c).alias(f"{c}_{x}") for c in joined.columns)) for x in "ab")
     stars = met.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    seen = stars.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
+    seen = stars.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b")).filter("component_a <> component_b")
     differ = [F.col("sketch_a")[j].bitwiseXOR(F.col("sketch_b")[j]) for j in range(3)]
     places = sum((F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(_EVEN))) for d in differ), F.lit(0))
-    sets = _sets_of(texts, met, width)
-    first = _confirmed(seen.filter(places <= SKETCH_DIFFER).select("a", "b"), sets, similarity)
-    known = connected_components(first).withColumnRenamed("node", "of")
-    member = sketches.join(known, F.col("of") == F.col("node"), "left").select(
-        F.col("node").alias("n"), F.coalesce("root", "node").alias("component"), *(F.col("sketch")[j].alias(f"s{j}") for j in range(3)), "bands"
-    )
-    placed = materialise(_mixed(met.join(member, F.col("n") == F.col("node")).select("band", "component", "node", "s0", "s1", "s2", "bands")), "placed")
-    able = _with_own(placed, sets, similarity)
-    found = [first]
-    for likeliest in (True, True, False):
-        across = lambda rows, likeliest=likeliest: _across(rows, similarity, likeliest)
-        open_ = _mixed(able).repartition("band").sortWithinPartitions("band", "component")
-        found.append(_confirmed(open_.mapInArrow(across, "a bigint, b bigint"), sets, similarity))
-        able = _in_components(able, found[-1]) if likeliest else able
-    for done in (met, placed, sketches, sets):
+    likeliest = seen.select("a", "b", places.alias("places")).filter(F.col("places") <= SKETCH_DIFFER).groupBy("b").agg(F.min(F.struct("places", "a")).alias("best"))
+    starred = _confirmed(likeliest.select("best.a", "b"), sets, similarity)
+    member = _in_components(sketches.select("node"), near.unionAll(starred)).withColumnRenamed("node", "n")
+    placed = materialise(_mixed(met.join(member, F.col("n") == F.col("node")).select("band", "component", "node")), "placed")
+    whole = placed.join(sets.withColumnRenamed("node", "of").hint("merge"), F.col("of") == F.col("node")).select("band", "component", "node", "shingles")
+    across = lambda rows: _across(rows, similarity)
+    rest = materialise(whole.repartition("band").sortWithinPartitions("band").mapInArrow(across, "a bigint, b bigint"), "similar")
+    for done in (met, placed, sketches, joined, close, sets):
         discard(done)
-    return functools.reduce(DataFrame.unionAll, found)
+    return near.unionAll(starred).unionAll(rest)
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -431,6 +430,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` without all but one document of each group of similar ones: the one with the smallest id stays, whole.
 
+    Fingerprints are linked through anchors and the links held against the exact sets; bands of minima find the rest.
     Texts link whose sets of `width`-word shingles have a Jaccard index of `similarity` or more; empty, null and short
     texts are treated as in `classes`. Of each group one row stays, also where rows of other groups have its id; of
     different texts of a group under its smallest id, the one with the least hash stays. Rows with a null id stay, as
@@ -438,7 +438,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     mark = fresh(docs.columns, "mark")
     marked = materialise(docs.withColumn(mark, minima_udf(width, text_col)), "marked")
-    texts = marked.select(F.col(f"{mark}.node").alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text_of_simhash"), f"{mark}.bands", f"{mark}.sketch")
+    texts = marked.select(F.col(f"{mark}.node").alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text_of_simhash"), f"{mark}.fp", f"{mark}.bands", f"{mark}.sketch")
     known = connected_components(similar_links(texts, width, similarity)).withColumnRenamed("node", "of")
     nodes = texts.filter("id is not null").groupBy("node").agg(F.min("id").alias("id"))
     rooted = nodes.join(known, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("first"))

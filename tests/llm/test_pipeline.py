@@ -172,3 +172,47 @@ def test_near_copies_meet_and_others_do_not(spark, similar):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert kept == ({2 * g for g in range(12)} if similar else set(range(24)))
+
+
+def test_near_dedup_links_fingerprints_by_anchors_and_checks_them(spark, monkeypatch):
+    """The first links of the stage connect what 3 bits of fingerprints do; those whose sets differ too much go."""
+    import random
+    import xxhash
+
+    rng = random.Random(8)
+    rows, unlike = [], []
+    for _ in range(30):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(400)]
+        rows += [" ".join(words), " ".join([*words, "tail"]), " ".join(["head", *words])]
+        loop = " ".join([f"p{rng.getrandbits(40)}" for _ in range(5)] * 60)
+        unlike += [len(rows), len(rows) + 1]  # one fingerprint or nearly, and few common shingles
+        rows += [f"{loop} " + " ".join(f"u{rng.getrandbits(40)}" for _ in range(12)) for _ in range(2)]
+
+    def fingerprint(text):
+        w = text.encode().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(len(w) - 4)]
+        return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+
+    prints = [fingerprint(t) for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                root = [root[j] if r == root[i] else r for r in root]
+    asked, real = [], simhash._confirmed
+
+    def recorded(pairs, *rest):
+        asked.append([tuple(r) for r in pairs.collect()])
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_confirmed", recorded)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in C.near_dedup(spark, docs, DATA).collect()}
+    assert kept == first_of_each(dict(enumerate(rows))) and set(unlike) <= kept
+    nodes = [xxhash.xxh64_intdigest(np.unique(simhash.shingle_hashes(t.encode(), 5)).tobytes(), 7) for t in rows]
+    signed = {n - (n >> 63 << 64): n for n in nodes}
+    of = {n: n for n in nodes}
+    for a, b in asked[0]:
+        of = {n: of[signed[a]] if r == of[signed[b]] else r for n, r in of.items()}
+    groups = lambda names: sorted(sorted(k for k, x in enumerate(names) if x == r) for r in set(names))
+    assert groups([of[n] for n in nodes]) == groups(root) and len(set(root)) < len(rows) - 30
