@@ -216,3 +216,28 @@ def test_near_dedup_links_fingerprints_by_anchors_and_checks_them(spark, monkeyp
         of = {n: of[signed[a]] if r == of[signed[b]] else r for n, r in of.items()}
     groups = lambda names: sorted(sorted(k for k, x in enumerate(names) if x == r) for r in set(names))
     assert groups([of[n] for n in nodes]) == groups(root) and len(set(root)) < len(rows) - 30
+
+
+def test_pairs_that_become_rows_grow_with_a_crowd_and_not_its_square(spark, monkeypatch):
+    """Half-similar texts in many components: each is held against a few others outside the buckets' tasks."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(150)]
+    texts = {}
+    for k in range(400):
+        copy = list(base)
+        for p in rng.sample(range(150), rng.choice((3, 4, 5, 6))):
+            copy[p] = f"other{p}-{rng.randrange(3)}"  # what is put in is shared, so no text rules itself out
+        texts[k] = " ".join(copy)
+    made, real = [], simhash._confirmed
+
+    def counted(pairs, *rest):
+        made.append(pairs.filter("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct().count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_confirmed", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == first_of_each(texts)
+    print("pairs as rows", made)
+    assert sum(made) < 3 * 400
