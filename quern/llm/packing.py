@@ -19,9 +19,8 @@ END_ID = 0
 #: About so many pieces are packed together: the bound of one packing task, whatever the table's size. A task leaves
 #: one or two sequences underfull at most in practice, so the loss is about one sequence in several thousand.
 GROUP_PIECES = 8192
-#: Effort of the local search in one group, and how many of a bin's longest items it tries to give away; None: any.
-SEARCH_STEPS: int | None = 2000
-SEARCH_ITEMS: int | None = 12
+#: Exchanges that the local search compares at once.
+SEARCH_CELLS = 1 << 20
 
 
 def cut(n_tokens: int, most: int) -> list[tuple[int, int]]:
@@ -81,11 +80,12 @@ def best_fit(lengths: np.ndarray, most: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, most: int, steps: int | None = SEARCH_STEPS, items: int | None = SEARCH_ITEMS) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, most: int, steps: int | None = None, items: int | None = None) -> list[list[int]]:
     """Local search between underfull bins: the emptiest bin gives fuller ones tokens by a move, else by a one-for-one
-    exchange, else by a two-for-one exchange; of each kind the step is taken that raises the sum of squared fills most.
-    A bin that empties goes. The sum only grows, so the search ends: at the lower bound, when no underfull bin can gain,
-    or after `steps` steps. `items` bounds how many of its longest items a bin tries to give (None: all of them)."""
+    exchange, else by a two-for-one exchange; of each kind the step is taken that raises the sum of squared fills most,
+    of all that there are. A bin that empties goes. A bin that can't gain waits until the others have been tried; all
+    are tried again after any step. The sum only grows, so the search ends: at the lower bound, or when no underfull bin
+    can gain. Callers may bound it to `steps` steps, and to the `items` longest items of the bin that gives."""
     size = np.asarray(lengths, np.int64)
     home = np.empty(len(size), np.int64)
     for k, b in enumerate(bins):
@@ -93,10 +93,14 @@ def improve(bins: list[list[int]], lengths: np.ndarray, most: int, steps: int |
     fill = np.bincount(home, size, len(bins)).astype(np.int64)
     alive, stuck = np.ones(len(bins), bool), np.zeros(len(bins), bool)
     least, count, left = -(-int(fill.sum()) // most), len(bins), -1 if steps is None else steps
+    gained = False
     while count > least and left:
         able = alive & ~stuck & (fill < most)
         if not able.any():
-            break
+            if not gained:
+                break
+            stuck[:], gained = False, False
+            continue
         left -= 1
         a = int(np.flatnonzero(able)[fill[able].argmin()])
         room = np.where(alive & (fill >= fill[a]), most - fill, 0)
@@ -108,15 +112,16 @@ def improve(bins: list[list[int]], lengths: np.ndarray, most: int, steps: int |
         if out is not None:
             out = [int(mine[out])]
         else:
-            pairs = [(int(i), int(j)) for x, i in enumerate(mine) for j in mine[x + 1 :]]
-            for options in ([(int(i),) for i in mine], pairs):
-                if not options:
-                    continue
-                shift = np.array([size[list(o)].sum() for o in options])[:, None] - size[None, :]
-                raised = np.where((shift > 0) & (shift <= room[home][None, :]), shift * (fill[home][None, :] - fill[a] + shift), 0)
-                best = int(raised.argmax())
-                if raised.flat[best]:
-                    out, back = list(options[best // len(size)]), best % len(size)
+            theirs = np.flatnonzero(room[home] > 0)
+            mine = mine[np.argsort(size[mine], kind="stable")]
+            same = np.r_[False, size[mine][1:] == size[mine][:-1]]
+            pair = mine[~(same & np.r_[False, same[:-1]])]  # two of each size make all sums
+            one, two = np.triu_indices(len(pair), 1)
+            for gives in (mine[~same][:, None], np.stack([pair[one], pair[two]], axis=1)):
+                sums, first = np.unique(size[gives].sum(axis=1), return_index=True)
+                give, take = _exchange(sums, size[theirs], room[home[theirs]], fill[home[theirs]] - fill[a])
+                if give >= 0:
+                    out, back = gives[first[give]].tolist(), int(theirs[take])
                     to = int(home[back])
                     break
         if out is None:
@@ -128,7 +133,7 @@ def improve(bins: list[list[int]], lengths: np.ndarray, most: int, steps: int |
             home[back] = a
         fill[a] -= gain
         fill[to] += gain
-        stuck[:] = False
+        gained = True
         if not (home == a).any():
             alive[a] = False
             count -= 1
@@ -149,9 +154,23 @@ def _move(sizes: np.ndarray, fill: np.ndarray, room: np.ndarray, a: int, most: i
     return (best, -1, int(to[best])) if raised[best] else (None, -1, -1)
 
 
+def _exchange(sums: np.ndarray, sizes: np.ndarray, room: np.ndarray, above: np.ndarray) -> tuple[int, int]:
+    """Which of `sums` to give for which of `sizes`, whose bins have `room` and are `above` the giver's fill; -1 if no
+    exchange gains."""
+    best, found = 0, (-1, -1)
+    wide = max(1, SEARCH_CELLS // max(1, len(sizes)))
+    for at in range(0, len(sums) if len(sizes) else 0, wide):
+        shift = sums[at : at + wide, None] - sizes[None, :]
+        raised = np.where((shift > 0) & (shift <= room), shift * (above + shift), 0)
+        k = int(raised.argmax())
+        if raised.flat[k] > best:
+            best, found = int(raised.flat[k]), (at + k // len(sizes), k % len(sizes))
+    return found
+
+
 def packed(
     rows: DataFrame, most: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES,
-    steps: int | None = SEARCH_STEPS, items: int | None = SEARCH_ITEMS,
+    steps: int | None = None, items: int | None = None,
 ) -> DataFrame:
     """Add sequence_id and offset to (row, id, piece, start, length, ids_crc32), every row kept, `row` left out; `rows`
     is read twice.
@@ -178,7 +197,7 @@ def packed(
 
 def pack_documents(
     docs: DataFrame, vocabulary: str, most: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text",
-    steps: int | None = SEARCH_STEPS, items: int | None = SEARCH_ITEMS,
+    steps: int | None = None, items: int | None = None,
 ) -> DataFrame:
     """One row per piece of every document: (id, piece, start, length, ids_crc32, sequence_id, offset).
 

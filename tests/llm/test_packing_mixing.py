@@ -101,3 +101,18 @@ def test_each_step_raises_squared_fill_most():
         assert sum(int(lengths[b].sum()) ** 2 for b in after) - sum(f * f for f in fill) == want
 
 
+def test_search_tries_every_item_of_a_bin():
+    """Only the shortest of thirteen items fits anywhere."""
+    lengths = np.array([60] * 12 + [40] + [960] * 30)
+    after = P.improve([list(range(13)), *([k] for k in range(13, 43))], lengths, 1000)
+    assert sorted(int(lengths[b].sum()) for b in after) == [720] + [960] * 29 + [1000]
+
+
+def test_search_ends_only_when_no_step_gains():
+    lengths = np.random.default_rng(1).integers(500, 900, 8192)
+    fills = lambda bins: sorted(int(lengths[b].sum()) for b in bins)
+    first = P.best_fit(lengths, 2048)
+    after = P.improve(first, lengths, 2048)
+    once_more = P.improve([b.tolist() for b in after], lengths, 2048, None, None)
+    assert sorted(int(i) for b in after for i in b) == list(range(8192)) and fills(after)[-1] <= 2048
+    assert len(after) < len(first) and fills(once_more) == fills(after)
