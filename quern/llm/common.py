@@ -16,9 +16,10 @@ ARROW_BYTES = 16 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, so that a batch of very long texts stays small."""
+    """Bound the batches of Arrow and of the parquet reader, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(ARROW_ROWS))
     return spark
 
 

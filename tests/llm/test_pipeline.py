@@ -241,3 +241,16 @@ def test_pairs_that_become_rows_grow_with_a_crowd_and_not_its_square(spark, monk
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == first_of_each(texts)
     print("pairs as rows", made)
     assert sum(made) < 3 * 400
+
+
+def test_scratch_tables_are_read_and_written_in_small_pieces(spark, tmp_path):
+    """A task holds a row group whole: at 128 MB each, near-dedup ran out of a heap of 1 GB over 0.6 GB of documents."""
+    import pyarrow.parquet as pq
+
+    from quern.llm.common import materialise, tuned
+
+    text = "concat_ws('', transform(sequence(1, 60), k -> sha2(concat(id, k), 256)))"
+    out = materialise(tuned(spark).range(0, 12_000, 1, 1).selectExpr("id", f"{text} as text"), "wide")
+    groups = [m.row_group(k).total_byte_size for f in out.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for k in range(m.num_row_groups)]
+    assert sum(groups) > 40 << 20 and max(groups) < 16 << 20
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1000
