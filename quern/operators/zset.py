@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import ExpressionError, Scope, Typed, columns_of, compile_expression, truthy
+from quern.functions.scalar import ExpressionError, Ref, Scope, Typed, columns_of, compile_expression, truthy
 
 W = "__w"
+#: Estimated bytes of the larger side of a theta join that one share of it may have, and most shares.
+SHARE_BYTES, MOST_SHARES = 256 << 10, 64
+
+
+def _shared_out(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides and a condition by which each pair meets once: the larger side's lines are dealt to shares, the other
+    side goes to all of them, so that few keys with many lines each still keep all tasks at work. What goes to all is hashed
+    task by task and never broadcast, as its size is no longer what it was."""
+    sizes = [int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for x in (left, right)]
+    n = min(MOST_SHARES, max((x for x in sizes if x < 1 << 50), default=0) // SHARE_BYTES + 1)
+    if n == 1:
+        return left, right, F.lit(True)
+    dealt = lambda x: x.withColumn("share", F.pmod(F.xxhash64(*(F.col(c) for c in x.columns)), F.lit(n)).cast("int"))
+    whole = lambda x: x.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).hint("shuffle_hash")
+    one, two = (dealt(left), whole(right)) if sizes[0] > sizes[1] else (whole(left), dealt(right))
+    return one.withColumnRenamed("share", "l_share"), two.withColumnRenamed("share", "r_share"), F.col("l_share") == F.col("r_share")
 
 
 @dataclass(frozen=True)
@@ -21,6 +37,7 @@ class ZSet:
     df: DataFrame
     unsigned: frozenset[str] = frozenset()
     alias: str | None = None
+    single: Callable[[], bool] | None = field(default=None, compare=False)
 
     @staticmethod
     def of(df: DataFrame, unsigned: Sequence[str] = ()) -> ZSet:
@@ -54,6 +71,8 @@ class ZSet:
 
     def consolidated(self) -> ZSet:
         """One line per row, without rows whose weights cancel out."""
+        if self.single is not None and self.single():
+            return self._with(self.df.filter(F.col(W) != 0))
         summed = self.df.groupBy(*(F.col(f"`{c}`") for c in self.columns)).agg(F.sum(W).alias(W))
         return self._with(summed.filter(F.col(W) != 0))
 
@@ -121,7 +140,27 @@ class ZSet:
                 if z.alias:
                     names[f"{z.alias}.{c}"] = Typed(F.col(f"{side}_{k}"), t.type)
         met = truthy(compile_expression(condition, names, scope))
-        return self._joined(other, left.join(right, met if cond is None else cond & met), attributes, scope)
+        if cond is not None:
+            left, right, share = _shared_out(left, right)
+            cond = cond & share
+        out = self._joined(other, left.join(right, met if cond is None else cond & met), attributes, scope)
+        return replace(out, single=lambda: self._told_apart(other, attributes))
+
+    def _told_apart(self, other: ZSet, attributes: Mapping[str, object] | None) -> bool:
+        """Whether a join's plain columns tell each side's lines apart, so that no two pairs of lines make one row."""
+        if attributes is None:
+            mine, theirs = self.columns, [c for c in other.columns if c not in self.columns]
+        else:
+            mine, theirs = [], []
+            for e in attributes.values():
+                if not isinstance(e, Ref):
+                    continue
+                for z, into in ((self, mine), (other, theirs)):
+                    name = e.name.removeprefix(f"{z.alias}.") if z.alias else e.name
+                    if name in z.columns and (name != e.name or into is mine or e.name not in self.columns):
+                        into.append(name)
+                        break
+        return all(cs and z.df.groupBy(*(F.col(f"`{c}`") for c in cs)).agg(F.count("*").alias("__n")).filter("__n > 1").isEmpty() for z, cs in ((self, mine), (other, theirs)))
 
     def anti_join(self, other: ZSet, on: Sequence[tuple[object, object]], scope: Scope | None = None) -> ZSet:
         """This side's rows whose key no row of the other side has, with their columns and weights."""
