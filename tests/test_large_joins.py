@@ -24,3 +24,21 @@ def test_a_cyclic_query_starts_with_the_pair_that_makes_fewest_rows(spark):
     q = ir.query("q(o, p, s) :- op(o, p), ps(p, s), so(s, o)")
     assert conjunctive.cyclic(q.body) and sorted(conjunctive.measured_order(q.body, t)[:2]) == [0, 2]
     assert not conjunctive.cyclic(ir.query("q(x, z) :- op(x, y), ps(y, z)").body)
+
+
+def test_a_fixpoint_joins_each_pair_of_facts_once(spark, monkeypatch):
+    from quern.plans import fixpoint
+
+    n, made, run = 9, [], fixpoint.run_query
+
+    def counted(*a, **k):
+        got = run(*a, **k)
+        made.append(got.count())
+        return got
+
+    monkeypatch.setattr(fixpoint, "run_query", counted)
+    rules = ir.program("p(x, y) :- e(x, y).\np(x, z) :- p(x, y), p(y, z).")
+    e = spark.range(n - 1).selectExpr("id as x", "id + 1 as y")
+    got = fixpoint.evaluate(spark, rules, ir.Catalog(e=e)).relations["p"]
+    assert got.count() == n * (n - 1) // 2
+    assert sum(made) == n - 1 + n * (n - 1) * (n - 2) // 6
